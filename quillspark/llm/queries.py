@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, line_dedup, quality, simhash, toxicity
+from . import byte_bpe, language, line_dedup, media, quality, simhash, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op4_line_dedup, op5_language, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op4_line_dedup, op5_language, op8_media, op9_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
