@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, line_dedup, media, quality, simhash, token_files, toxicity
+from . import byte_bpe, language, line_dedup, media, mixing, quality, simhash, token_files, topk, toxicity
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digests(table(spark, sf_dir, "embeddings"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -44,8 +52,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_token_files, op4_line_dedup, op5_language, op8_media, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_token_files, op4_line_dedup, op5_language, op6_mixing, op7_topk, op8_media, op9_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql(), "op7_topk": topk.SQL}
