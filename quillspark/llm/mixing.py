@@ -4,8 +4,8 @@ Documents are counted into cells (source, language, topic) with their tokens; al
 multiplies each cell's weight so that the weighted tokens meet the target shares of sources, then of languages, then of topics, `sweeps` times
 over; the cells are written to the shared folder every few sweeps. Without given targets, the target share of a source
 (language, topic) is its share of tokens to the power `temper`, normalised, which lifts small ones. A document's
-probability is its cell's weight over the largest weight of a cell: the largest sample that keeps the mixture without
-repeating documents. It is drawn if a hash of its id, uniform in [0, 1), is below that, so a draw can be repeated.
+probability is its cell's weight times a constant, and 1 at most; the constant makes the sample's expected tokens the share `keep` of all. It
+is drawn if a hash of its id, uniform in [0, 1), is below that, so a draw can be repeated.
 
 Cases: null source, language or topic are values of their own (shown as null); a null text has no tokens and weighs nothing in the sums, but
 has its cell's probability (0 in a cell without any tokens and with no other); repeated rows of an id are drawn together; margins whose target isn't met by any token
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SWEEPS, TEMPER = 8, 0.7
+SWEEPS, TEMPER, KEEP = 8, 0.7, 0.8
 MARGINS = ("source", "lang", "topic")
 
 # Signs of the topics of this corpus, the first that fits counts.
@@ -77,18 +77,30 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, sweeps: int = SWE
     return out.select(*margins, "tokens", "weight")
 
 
-def calibrated(cells: DataFrame) -> DataFrame:
-    """cells with probability: weight over the largest weight."""
-    top = F.max("weight").over(Window.partitionBy())
-    return cells.withColumn("__top", top).withColumn("probability", F.round(F.when(F.col("__top") > 0, F.col("weight") / F.col("__top")).otherwise(0.0), 9)).drop("__top")
+def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
+    """cells with probability min(1, c x weight), where c makes the expected tokens `keep` of all.
 
-
-def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", topic: Column | None = None, sweeps: int = SWEEPS, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    By falling weight, the first cells are taken whole; c follows from what the others must give. The first cell that
+    this c doesn't lift over 1 settles it.
+    """
+    order = Window.partitionBy().orderBy(F.desc("weight"), *[F.col(m).asc_nulls_first() for m in MARGINS])
+    every = Window.partitionBy()
+    mass = F.col("weight") * F.col("tokens")
+    out = cells.withColumn("__whole", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = out.withColumn("__rest", F.sum(mass).over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("__all", F.sum("tokens").over(every))
+    c = F.when(F.col("__rest") > 0, (F.col("__all") * F.lit(keep) - F.col("__whole")) / F.col("__rest"))
+    out = out.withColumn("__c", c)
+    settled = F.when((F.col("__c") > 0) & (F.col("__c") * F.col("weight") <= 1), F.col("__c"))
+    out = out.withColumn("__c", F.coalesce(F.max(settled).over(every), F.lit(0.0)))
+    return out.select(*cells.columns, F.round(F.least(F.lit(1.0), F.col("__c") * F.col("weight")), 9).alias("probability"))
+
+
+def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", topic: Column | None = None, sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """docs with __topic, __tokens, weight, probability and sampled."""
     # counted once; the text doesn't travel with the counts
     docs = docs.drop("__topic", "__tokens", "weight", "probability", "sampled").withColumn("__topic", topic_of(F.col(text)) if topic is None else topic).withColumn("__tokens", token_count(F.col(text)))
     cells = docs.groupBy("source", "lang", F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    fitted = stored(calibrated(rake(stored(cells, "cells"), sweeps=sweeps, temper=temper, targets=targets)), "mixture").select(*[F.col(m).alias(f"__m_{m}") for m in MARGINS], "weight", "probability")
+    fitted = stored(calibrated(rake(stored(cells, "cells"), sweeps=sweeps, temper=temper, targets=targets), keep), "mixture").select(*[F.col(m).alias(f"__m_{m}") for m in MARGINS], "weight", "probability")
     same = F.col("source").eqNullSafe(F.col("__m_source")) & F.col("lang").eqNullSafe(F.col("__m_lang")) & F.col("__topic").eqNullSafe(F.col("__m_topic"))
     out = docs.join(fitted, same, "left").drop(*[f"__m_{m}" for m in MARGINS])
     return out.withColumn("sampled", uniform(F.col(f"`{doc_id}`")) < F.col("probability"))
@@ -104,7 +116,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
-def sql(sweeps: int = SWEEPS, temper: float = TEMPER, source: str = "documents") -> str:
+def sql(sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, source: str = "documents") -> str:
     """The same in DuckDB's SQL: each step of the raking is a common table expression."""
     kinds = "ELSE ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' " for n, p in TOPICS) + "ELSE 'prose'" + " END" * len(TOPICS)
     parts = [
@@ -119,7 +131,13 @@ def sql(sweeps: int = SWEEPS, temper: float = TEMPER, source: str = "documents")
         m = MARGINS[i % len(MARGINS)]
         parts.append(f"k{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight * tokens) OVER (PARTITION BY {m}) > 0 THEN weight * t_{m} * total / sum(weight * tokens) OVER (PARTITION BY {m}) ELSE 0 END AS weight) FROM k{i})")
     last = f"k{sweeps * len(MARGINS)}"
-    parts.append(f"p AS (SELECT source, lang, topic, weight, round(CASE WHEN max(weight) OVER () > 0 THEN weight / max(weight) OVER () ELSE 0 END, 9) AS probability FROM {last})")
+    order = "ORDER BY weight DESC, " + ", ".join(f"{m} ASC NULLS FIRST" for m in MARGINS)
+    parts.append(
+        f"w AS (SELECT *, coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,"
+        f" sum(weight * tokens) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(tokens) OVER () AS every FROM {last})"
+    )
+    parts.append(f"y AS (SELECT *, CASE WHEN rest > 0 THEN (every * {keep} - whole) / rest END AS c FROM w)")
+    parts.append("p AS (SELECT source, lang, topic, weight, round(least(1, weight * coalesce(max(CASE WHEN c > 0 AND c * weight <= 1 THEN c END) OVER (), 0)), 9) AS probability FROM y)")
     on = " AND ".join(f"d.{m} IS NOT DISTINCT FROM p.{m}" for m in MARGINS)
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(p.weight, 6) AS weight, round(p.probability, 6) AS probability,"
