@@ -39,9 +39,9 @@ def index_issues(tables: dict[str, DataFrame], found: dict[str, DataFrame]) -> D
         issue(found["unreadable"], "error", "path", F.concat(F.lit("could not read file: "), "message"), rank=2),
         issue(docs.select("path", F.posexplode("warnings").alias("n", "message")), "warning", "path", F.col("message"), rank=3),
         issue(docs.filter("not has_title"), "warning", "path", "no title: add 'title:' front matter or a '# Heading'", rank=4),
-        issue(docs.filter("not has_summary"), "warning", "path", "no summary: add 'summary:' front matter", rank=5),
-        issue(docs.filter("words = 0"), "warning", "path", "empty document", rank=6),
-        issue(docs.filter(F.col("words") > LONG_DOCUMENT), "warning", "path", F.concat("words", F.lit(f" words: consider splitting (over {LONG_DOCUMENT})")), rank=6),
+        issue(docs.filter("not has_summary"), "warning", "path", "no summary: add 'summary:' front matter (shown in results)", rank=5),
+        issue(docs.filter("words = 0"), "warning", "path", "document is empty", rank=6),
+        issue(docs.filter(F.col("words") > LONG_DOCUMENT), "warning", "path", F.concat("words", F.lit(" words: consider splitting it so agents can read just the part they need")), rank=6),
     ]
     anchors = sections.join(own, "doc_seq").select(F.col("path").alias("t_path"), F.col("anchor").alias("t_anchor")).distinct()
     known = docs.select(F.col("path").alias("t_path")).distinct()
@@ -52,11 +52,11 @@ def index_issues(tables: dict[str, DataFrame], found: dict[str, DataFrame]) -> D
     has_anchor = lambda rows, at: rows.filter("anchor <> ''").join(anchors, (F.col(at) == F.col("t_path")) & (F.col("anchor") == F.col("t_anchor")), "left_anti")
     direct = from_.filter("kind <> 'related' and target <> ''").join(known, F.col("target") == F.col("t_path"), "left")
     parts += [
-        issue(named.filter("to is null"), "error", "path", F.concat(F.lit("related doc not found: "), "target"), F.col("line"), 7),
-        issue(has_anchor(named.filter("to is not null"), "to"), "warning", "path", F.concat(F.lit("related section not found: "), show), F.col("line"), 7),
-        issue(has_anchor(from_.filter("kind = 'anchor'"), "path"), "warning", "path", F.concat(F.lit("anchor not found: #"), "anchor"), F.col("line"), 7),
-        issue(has_anchor(direct.filter("t_path is not null").drop("t_path"), "target"), "warning", "path", F.concat(F.lit("anchor not found: "), show), F.col("line"), 7),
-        issue(direct.filter("t_path is null").join(found["files"].select(F.col("target").alias("on_disk")), F.col("target") == F.col("on_disk"), "left_anti"), "error", "path", F.concat(F.lit("broken link: "), show), F.col("line"), 7),
+        issue(named.filter("to is null"), "error", "path", F.concat(F.lit("related doc '"), "target", F.lit("' does not exist")), F.col("line"), 7),
+        issue(has_anchor(named.filter("to is not null"), "to"), "warning", "path", F.concat(F.lit("related section "), show, F.lit(" does not exist")), F.col("line"), 7),
+        issue(has_anchor(from_.filter("kind = 'anchor'"), "path"), "warning", "path", F.concat(F.lit("link to missing section #"), "anchor"), F.col("line"), 7),
+        issue(has_anchor(direct.filter("t_path is not null").drop("t_path"), "target"), "warning", "path", F.concat(F.lit("link to missing section "), show), F.col("line"), 7),
+        issue(direct.filter("t_path is null").join(found["files"].select(F.col("target").alias("on_disk")), F.col("target") == F.col("on_disk"), "left_anti"), "error", "path", F.concat(F.lit("broken link: "), "target", F.lit(" does not exist")), F.col("line"), 7),
     ]
     out = parts[0]
     for p in parts[1:]:
