@@ -96,24 +96,24 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", topic: Column | None = None, sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs with __topic, __tokens, weight, probability and sampled."""
+    """docs with __topic, __tokens, __weight, __probability and __sampled."""
     # counted once; the text doesn't travel with the counts
-    docs = docs.drop("__topic", "__tokens", "weight", "probability", "sampled").withColumn("__topic", topic_of(F.col(text)) if topic is None else topic).withColumn("__tokens", token_count(F.col(text)))
+    docs = docs.withColumn("__topic", topic_of(F.col(text)) if topic is None else topic).withColumn("__tokens", token_count(F.col(text)))
     cells = docs.groupBy("source", "lang", F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    fitted = stored(calibrated(rake(stored(cells, "cells"), sweeps=sweeps, temper=temper, targets=targets), keep), "mixture").select(*[F.col(m).alias(f"__m_{m}") for m in MARGINS], "weight", "probability")
+    fitted = stored(calibrated(rake(stored(cells, "cells"), sweeps=sweeps, temper=temper, targets=targets), keep), "mixture").select(*[F.col(m).alias(f"__m_{m}") for m in MARGINS], F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
     same = F.col("source").eqNullSafe(F.col("__m_source")) & F.col("lang").eqNullSafe(F.col("__m_lang")) & F.col("__topic").eqNullSafe(F.col("__m_topic"))
     out = docs.join(fitted, same, "left").drop(*[f"__m_{m}" for m in MARGINS])
-    return out.withColumn("sampled", uniform(F.col(f"`{doc_id}`")) < F.col("probability"))
+    return out.withColumn("__sampled", uniform(F.col(f"`{doc_id}`")) < F.coalesce("__probability", F.lit(0.0)))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The drawn documents."""
-    return weigh(docs, **options).filter("sampled").select(*docs.columns)
+    return weigh(docs, **options).filter("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     out = weigh(docs.select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"))
 
 
 def sql(sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, source: str = "documents") -> str:

@@ -132,24 +132,36 @@ def links(distinct: DataFrame, radius: int = 3, name: str = "fingerprint") -> Da
     return ordered.mapInArrow(verify, "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as a long, component_id) for each row of docs."""
-    short_batches(docs.sparkSession)
-    own = stored(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), words=words).drop("text"), "simhash")
+def named(own: DataFrame, radius: int) -> DataFrame:
+    """own (doc_id, fingerprint): (fingerprint, root, component_id) of each distinct fingerprint."""
     first = own.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = components(links(first, radius))
-    named = first.join(roots, first["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(named.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    tied = first.join(roots, first["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
+    return tied.join(least, "root").select("fingerprint", "root", "component_id")
+
+
+def _fingerprinted(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return stored(fingerprints(rows, words=words).drop("text"), "simhash")
+
+
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fingerprint as a long, component_id) for each row of docs."""
+    own = _fingerprinted(docs, text, doc_id, words)
+    return own.join(named(own, radius).drop("root"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each group, that of the least doc_id; of rows that share it, one."""
-    found = groups(docs, text, doc_id, words, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__kept")), "left_semi")
-    again = docs.groupBy(F.col(f"`{doc_id}`")).count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates([doc_id]) if again else out
+    """One document of each group, that of the least doc_id. Where rows share an id (or have none), one row of the group with it."""
+    own = _fingerprinted(docs, text, doc_id, words)
+    group = named(own, radius)
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id"))
+    if own.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # an id doesn't name a row: rows are told apart by their own fingerprints
+        rows = fingerprints(docs, text, words, "__fingerprint").join(group.withColumnRenamed("fingerprint", "__fingerprint").withColumnRenamed("root", "__root"), "__fingerprint")
+        return rows.filter(same).dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = group.select("component_id").distinct()
+    return docs.join(kept, same, "left_semi")
 
 
 def digests(docs: DataFrame) -> DataFrame:
