@@ -155,13 +155,12 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
     """One document of each group, that of the least doc_id. Where rows share an id (or have none), one row of the group with it."""
     own = _fingerprinted(docs, text, doc_id, words)
-    group = named(own, radius)
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id"))
+    group = named(own, radius).select(*[F.col(c).alias(f"__{c}") for c in ("fingerprint", "root", "component_id")])
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__component_id"))
     if own.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # an id doesn't name a row: rows are told apart by their own fingerprints
-        rows = fingerprints(docs, text, words, "__fingerprint").join(group.withColumnRenamed("fingerprint", "__fingerprint").withColumnRenamed("root", "__root"), "__fingerprint")
+        rows = fingerprints(docs, text, words, "__fingerprint").join(group, "__fingerprint")
         return rows.filter(same).dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = group.select("component_id").distinct()
-    return docs.join(kept, same, "left_semi")
+    return docs.join(group.select("__component_id").distinct(), same, "left_semi")
 
 
 def digests(docs: DataFrame) -> DataFrame:
