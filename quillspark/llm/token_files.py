@@ -17,6 +17,7 @@ an empty table has no shards; the text's other columns are not stored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -35,43 +36,72 @@ from .common import shared_dir, short_batches
 
 BLOCK, SHARD = 1 << 20, 1 << 20
 ROUNDS, PAIRS, LEAST = 8, 2_000, 16
-MEMO = 120_000
+MEMO = 300_000
 MAGIC = b"RPG1"
 
 
+class Generations:
+    """A memo of bounded size that keeps what is in use: when it is full it becomes the old one, from which entries come back."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys without an entry; those of the old generation that are asked for come back."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        now, old, out = self.now, self.old, []
+        for k in keys.difference(now):
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                now[k] = v
+        return out
+
+
 class WordEncoder:
     """The library's ids of whole texts, from a memo of the ids of their parts.
 
     White space always parts pre-tokens, and so does the place between a letter and a sign of `TAIL`; parts seen before aren't encoded again.
+    Unknown words of letters alone go to the library as one text, and are told apart by the ends of words in its tokens.
     """
 
     TAIL = re.compile(r"([^\W\d_]+)([.,!?;:%&$#*()\-]+)")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if self.size < 1 << 16 else "<u4"
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.ends = np.zeros(self.size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.parts, self.words = Generations(MEMO), Generations(MEMO)
 
     def _learn(self, words: list[str]) -> None:
+        plain_ = [w for w in words if w.isalpha()]
+        if plain_:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain_)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(plain_) and cuts[-1] == len(ids):
+                raw, width = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+                at = 0
+                for w, b in zip(plain_, (cuts * width).tolist(), strict=True):
+                    self.words.now[w] = raw[at:b]
+                    at = b
+                words = [w for w in words if not w.isalpha()]
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[w] = np.asarray(e.ids, dtype=self.kind).tobytes()
+            self.words.now[w] = np.asarray(e.ids, dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
-        parts, words = self.parts, self.words
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {p for s in split for p in s if p not in parts}
-        cut = {p: m.groups() if (m := self.TAIL.fullmatch(p)) else (p,) for p in fresh}
-        unknown = list({w for c in cut.values() for w in c if w not in words})
-        self._learn(unknown)
+        cut = {p: m.groups() if (m := self.TAIL.fullmatch(p)) else (p,) for p in self.parts.unknown(set().union(*split))}
+        self._learn(self.words.unknown({w for c in cut.values() for w in c}))
+        parts, words = self.parts.now, self.words.now
         for p, c in cut.items():
-            parts[p] = b"".join([words[w] for w in c])
-        return [b"".join([parts[p] for p in s]) for s in split]
+            parts[p] = words[c[0]] if len(c) == 1 else words[c[0]] + words[c[1]]
+        return [b"".join(map(parts.__getitem__, s)) for s in split]
 
 
 @lru_cache(maxsize=2)
@@ -213,8 +243,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
             return pa.RecordBatch.from_pydict({"pid": [pid], "no": [no], "doc_ids": [ids], "n_tokens": [sizes], "total": [sum(sizes)], "blocks": [blocks]}, schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                own = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 500):
+                own = batch.slice(at, 500)
                 for i, b in zip(own.column(0).to_pylist(), e.encode(own.column(1).to_pylist()), strict=True):
                     ids.append(i)
                     parts.append(b + end)
