@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Rows of an Arrow batch handed to Python. Texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
@@ -72,6 +74,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.Str
 
 
 def short_batches(spark: SparkSession) -> None:
+    """Readies the session for Python on the executors: the package is there, and batches are short."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -18,7 +18,6 @@ an empty table has no shards; the text's other columns are not stored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,7 +35,8 @@ from .common import shared_dir, short_batches
 
 BLOCK, SHARD = 1 << 20, 1 << 20
 ROUNDS, PAIRS, LEAST = 8, 2_000, 16
-MEMO = 300_000
+#: Entries of a generation of the encoder's memos.
+PARTS, WORDS = 450_000, 300_000
 MAGIC = b"RPG1"
 
 
@@ -63,11 +63,11 @@ class Generations:
 class WordEncoder:
     """The library's ids of whole texts, from a memo of the ids of their parts.
 
-    White space always parts pre-tokens, and so does the place between a letter and a sign of `TAIL`; parts seen before aren't encoded again.
+    White space always parts pre-tokens, and so does the place between a word of letters and the signs of `TAIL` after it; parts seen before aren't encoded again.
     Unknown words of letters alone go to the library as one text, and are told apart by the ends of words in its tokens.
     """
 
-    TAIL = re.compile(r"([^\W\d_]+)([.,!?;:%&$#*()\-]+)")
+    TAIL = ".,!?;:%&$#*()-"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -77,7 +77,7 @@ class WordEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.parts, self.words = Generations(MEMO), Generations(MEMO)
+        self.parts, self.words = Generations(PARTS), Generations(WORDS)
 
     def _learn(self, words: list[str]) -> None:
         plain_ = [w for w in words if w.isalpha()]
@@ -96,7 +96,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        cut = {p: m.groups() if (m := self.TAIL.fullmatch(p)) else (p,) for p in self.parts.unknown(set().union(*split))}
+        cut = {}
+        for p in self.parts.unknown(set().union(*split)):
+            w = p.rstrip(self.TAIL)
+            cut[p] = (w, p[len(w) :]) if len(w) < len(p) and w.isalpha() else (p,)
         self._learn(self.words.unknown({w for c in cut.values() for w in c}))
         parts, words = self.parts.now, self.words.now
         for p, c in cut.items():
@@ -243,8 +246,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id
             return pa.RecordBatch.from_pydict({"pid": [pid], "no": [no], "doc_ids": [ids], "n_tokens": [sizes], "total": [sum(sizes)], "blocks": [blocks]}, schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                own = batch.slice(at, 1000)
                 for i, b in zip(own.column(0).to_pylist(), e.encode(own.column(1).to_pylist()), strict=True):
                     ids.append(i)
                     parts.append(b + end)
@@ -288,7 +291,7 @@ def documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 pid, no, ids, sizes, blocks = (batch.column(c)[r].as_py() for c in range(5))
-                raw = b"".join(Block.unpack(b).decode().tobytes() for b in blocks)
+                raw = memoryview(b"".join(Block.unpack(b).decode().tobytes() for b in blocks))
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 n = len(ids)
