@@ -95,6 +95,7 @@ def oracle_sql() -> dict[str, str]:
     sections = "sx AS (SELECT doc_id, CAST(i AS INTEGER) AS ord, regexp_extract(x, '(\\S+)', 1) AS heading, x AS body FROM (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(x) <> '')"
     quoted = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
     return {
+        "markdown_documents": f"WITH {_HEADS}, n AS (SELECT page_id, count(*) AS n FROM g GROUP BY page_id) SELECT p.page_id, 'Page ' || p.page_id AS title, 'page,odd' AS tag_list, 1 + coalesce(n, 0) AS n_sections, true AS has_title, false AS has_summary, CAST(0 AS BIGINT) AS n_warnings FROM pages p LEFT JOIN n USING (page_id)",
         "tokenize_postings": f"SELECT doc_id, CAST(unnest(range(len(t))) AS INTEGER) AS pos, unnest(t) AS term FROM (SELECT doc_id, {_toks('text')} AS t FROM documents)",
         "word_counts": f"SELECT 'documents' AS kind, doc_id AS id, {words('text')} AS words FROM documents UNION ALL SELECT 'conversations', conv_id, CAST(sum({words('text')}) AS BIGINT) FROM conversations GROUP BY conv_id",
         "vocab_doc_freq_idf": f"WITH t AS (SELECT DISTINCT doc_id, unnest({_toks('text')}) AS term FROM documents), n AS (SELECT count(*) AS total FROM documents) SELECT term, count(*) AS df, round(ln(1 + (any_value(total) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, n GROUP BY term",

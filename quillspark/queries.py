@@ -227,6 +227,38 @@ def fuzzy_suggest(s, d):
     return suggest(asked, parts)
 
 
+def _markdown(s, d):
+    """Pages as Markdown files: front matter, a heading, the page's headings as sections and its links."""
+    pages = load(s, d, "pages")
+    heads = reading.html_headings(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "level", "heading"))).alias("h"))
+    links = reading.html_links(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "target", "anchor"))).alias("l"))
+    head = F.transform(F.coalesce("h", F.array().cast("array<struct<ord:int,level:int,heading:string>>")), lambda x: F.concat(F.repeat(F.lit("#"), x["level"] + 1), F.lit(" "), x["heading"], F.lit("\n\nSome words here.\n")))
+    link = F.transform(F.coalesce("l", F.array().cast("array<struct<ord:int,target:string,anchor:string>>")), lambda x: F.concat(F.lit("- [x]("), x["target"], F.lit(")\n")))
+    text = F.concat(F.lit("---\ntitle: Page "), "page_id", F.lit("\ntags: [page, odd]\n---\n# Page\n\n"), F.array_join(head, "\n"), F.lit("\n"), F.array_join(link, ""))
+    rows = pages.join(heads, "page_id", "left").join(links, "page_id", "left")
+    content = text.cast("binary")
+    return rows.select(F.col("page_id").alias("doc_seq"), F.concat(F.lit("p/"), "page_id").alias("id"), F.concat(F.lit("p/"), "page_id", F.lit(".md")).alias("rel"), content.alias("content"), F.sha2(content, 256).alias("hash"), F.lit(0).cast("long").alias("mtime_ns"), F.length(content).cast("long").alias("size"))
+
+
+def _parsed(s, d):
+    from .sources.files import parse_files
+
+    return parse_files(_markdown(s, d))
+
+
+def markdown_documents(s, d):
+    return _parsed(s, d).select(F.col("doc_seq").alias("page_id"), "title", F.array_join("tags", ",").alias("tag_list"), F.size("sections").cast("long").alias("n_sections"), "has_title", "has_summary", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+def markdown_sections(s, d):
+    rows = _parsed(s, d).select(F.col("doc_seq").alias("page_id"), F.explode("sections").alias("s"))
+    return rows.select("page_id", "s.ord", "s.level", "s.heading", "s.anchor", "s.start_line", "s.subtree_end")
+
+
+def markdown_links(s, d):
+    return _parsed(s, d).select(F.col("doc_seq").alias("page_id"), F.explode("links").alias("l")).groupBy("page_id", "l.kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- maintenance and lint ----------------------------------------------------------------------------------------------------
 
 
@@ -314,7 +346,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokenize_postings, word_counts, vocab_doc_freq_idf, light_stem_vocab, porter_stem_vocab, search_topk, search_tag_all, search_indexed, search_batch_topk,
         best_sections_top2, snippet_top_hits, list_docs_sorted, list_docs_tagged, tag_counts, summary_shorten, slugify_first_line, page_headings_outline, page_heading_anchors, page_links,
         page_backlinks, page_broken_links, resolve_suffix, fuzzy_suggest, sync_diff, sync_merge, duplicate_ids_first_wins, lint_docs, exclude_globs, sentence_split, claims_grouped,
-        similar_pairs_dice, conflicts,
+        similar_pairs_dice, conflicts, markdown_documents, markdown_sections, markdown_links,
     )}
     out |= {name: (lambda s, d, p=p: _matching(s, d, p)) for name, p in MATCHES.items()}
     out |= {"bm25_single_term": _bm25([Phrase(("hean",), "any")], ["text"]), "bm25_multi_term": _bm25(PHRASES, ["text"]), "bm25f_fields": _bm25(PHRASES, FIELDS)}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +21,17 @@ def session(name: str = "quillspark", cores: str | int = "*", partitions: int =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that their Python finds it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_quillspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quillspark-")) / "quillspark_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(str(target))
+    context._quillspark_shipped = True
