@@ -64,10 +64,9 @@ def _blocks(rows: DataFrame, size: int, buckets: int) -> DataFrame:
     bounds = rows.agg(F.percentile_approx("norm", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     bucket = sum((F.when(F.col("norm") >= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
     rows = rows.withColumn("bucket", bucket)
-    sizes = {(r["dim"], r["bucket"]): r["count"] for r in rows.groupBy("dim", "bucket").count().orderBy("dim", "bucket").limit(100_000).collect()}
-    parts = rows.sparkSession.createDataFrame([(d, b, -(-n // size)) for (d, b), n in sizes.items()], "dim int, bucket int, parts int")
+    parts = rows.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
-    return rows.join(F.broadcast(parts), ["dim", "bucket"]).withColumn("block", F.concat_ws("-", F.lpad("bucket", 4, "0"), part))
+    return rows.join(parts, ["dim", "bucket"]).withColumn("block", F.concat_ws("-", F.lpad("bucket", 4, "0"), part))
 
 
 def _unpacked(row: dict, mark: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,9 +137,8 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "em
     short_batches(df.sparkSession)
     rows = stored(integers(df, vec_id, embedding, scale), "topk-vectors")
     asked = rows.filter(is_query(F.col("vec_id")))
-    n = {r["dim"]: -(-r["count"] // queries) for r in asked.groupBy("dim").count().orderBy("dim").limit(100_000).collect()}
-    parts = df.sparkSession.createDataFrame(list(n.items()), "dim int, parts int")
-    q_blocks = _packed(asked.join(F.broadcast(parts), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("string")))
+    parts = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / queries).cast("int").alias("parts"))
+    q_blocks = _packed(asked.join(parts, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("string")))
     c_blocks = stored(_packed(_blocks(rows, block, buckets)), "topk-blocks")
 
     # the longest block of each dimension gives the bounds
