@@ -68,7 +68,7 @@ def test_similar_pairs_are_those_of_brute_force(spark):
     words = [f"w{i}" for i in range(30)]
     sets = [sorted({rnd.choice(words) for _ in range(rnd.randint(1, 9))}) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(sets)), "k int, t array<string>")
-    got = {frozenset((r["small"], r["large"])) for r in similarity.similar_pairs(df, "k", "t", salts=3).collect()}
+    got = {frozenset((r["small"], r["large"])) for r in similarity.similar_pairs(df, "k", "t", per_salt=15).collect()}
     want = {frozenset((i, j)) for i in range(150) for j in range(i) if 2 * len(set(sets[i]) & set(sets[j])) >= 0.5 * (len(sets[i]) + len(sets[j]))}
     assert got == want
 
