@@ -35,8 +35,8 @@ from .common import shared_dir, short_batches
 
 BLOCK, SHARD = 1 << 20, 1 << 20
 ROUNDS, PAIRS, LEAST = 8, 2_000, 16
-#: Entries of a generation of the encoder's memos.
-PARTS, WORDS = 450_000, 300_000
+#: Entries of the encoder's memos: parts between white space, and words (a generation of them).
+PARTS, WORDS = 600_000, 300_000
 MAGIC = b"RPG1"
 
 
@@ -77,7 +77,8 @@ class WordEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.parts, self.words = Generations(PARTS), Generations(WORDS)
+        self.parts: dict[str, bytes] = {}
+        self.words = Generations(WORDS)
 
     def _learn(self, words: list[str]) -> None:
         plain_ = [w for w in words if w.isalpha()]
@@ -96,14 +97,18 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        cut = {}
-        for p in self.parts.unknown(set().union(*split)):
-            w = p.rstrip(self.TAIL)
-            cut[p] = (w, p[len(w) :]) if len(w) < len(p) and w.isalpha() else (p,)
-        self._learn(self.words.unknown({w for c in cut.values() for w in c}))
-        parts, words = self.parts.now, self.words.now
-        for p, c in cut.items():
-            parts[p] = words[c[0]] if len(c) == 1 else words[c[0]] + words[c[1]]
+        parts = self.parts
+        if len(parts) > PARTS:
+            parts.clear()  # they come back from the words, without the library
+        fresh = list(set().union(*split).difference(parts))
+        heads = [p.rstrip(self.TAIL) for p in fresh]
+        heads = [h if h.isalpha() else p for h, p in zip(heads, fresh, strict=True)]
+        tails = [p[len(h) :] for h, p in zip(heads, fresh, strict=True)]
+        heads = [h.lower() if h.isascii() and h.isalpha() else h for h in heads]  # the library lower-cases as well
+        self._learn(self.words.unknown(set(heads).union(tails)))
+        words = self.words.now
+        words[""] = b""
+        parts.update(zip(fresh, [words[h] + words[t] for h, t in zip(heads, tails, strict=True)], strict=True))
         return [b"".join(map(parts.__getitem__, s)) for s in split]
 
 
@@ -152,12 +157,17 @@ class Block:
         return Block(first, out[0], out[1], out[3], out[2], count)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for: all nonterminals used are expanded once, one after another, and their stretches gathered."""
         own: list[bytes] = []
         word = lambda s: s.to_bytes(4, "little") if s < self.first else own[s - self.first]
         for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
             own.append(word(a) + word(b))
-        table = plain(self.first) + own
-        return np.frombuffer(b"".join(map(table.__getitem__, symbols.tolist())), dtype="<u4")
+        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), np.frombuffer(b"".join(own), dtype="<u4")])
+        sizes = np.concatenate([np.ones(self.first, dtype=np.int64), self.lengths.astype(np.int64)])
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[symbols]
+        ends = np.cumsum(n)
+        return flat[np.repeat(begins[symbols] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u4", copy=False)
 
     def decode(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -170,11 +180,6 @@ class Block:
         return self._expand(self.symbols[a:b])[start - before : stop - before]
 
 
-@lru_cache(maxsize=2)
-def plain(n: int) -> list[bytes]:
-    return [i.to_bytes(4, "little") for i in range(n)]
-
-
 def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> Block:
     s = ids.astype(np.uint32)
     left, right = [], []
