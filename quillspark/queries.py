@@ -82,7 +82,7 @@ def porter_stem_vocab(s, d):
 
 def _matching(s, d, phrases):
     counts = retrieval.scan_counts(load(s, d, "documents"), ["doc_id"], {"text": F.col("text")}, phrases)
-    return counts.filter(retrieval.matches(phrases)).select("doc_id", *[F.col("f")[i][0].alias(f"f{i}") for i in range(len(phrases))])
+    return counts.filter("ok").select("doc_id", *[F.col("f")[i][0].alias(f"f{i}") for i in range(len(phrases))])
 
 
 MATCHES = {
