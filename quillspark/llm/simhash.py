@@ -12,6 +12,9 @@ same recall of 1). A shuffle sorts them by variant; of each bucket the distances
 bucket a spanning forest leaves the task, never all pairs. Copies of a fingerprint collapse before that. Components are found
 over the links of distinct fingerprints.
 
+That is the contract of op2. Without a radius, `groups` and `dedup` link by the exact similarity of the sets of shingles instead (`shingles`:
+five words, Jaccard similarity of at least 0.8), since a distance of 3 finds almost identical texts only; texts without words are one group in both.
+
 Cases: a null text has no words; repeated rows come back as often as they came; a null doc_id is no candidate for
 component_id unless the group has no other; an empty table gives no rows; other columns stay.
 """
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shingles
 from .common import map_arrow, short_batches, stored
 from .components import components
 
@@ -132,36 +136,44 @@ def links(distinct: DataFrame, radius: int = 3, name: str = "fingerprint") -> Da
     return ordered.mapInArrow(verify, "u long, v long").distinct()
 
 
-def named(own: DataFrame, radius: int) -> DataFrame:
+def named(own: DataFrame, edges: DataFrame) -> DataFrame:
     """own (doc_id, fingerprint): (fingerprint, root, component_id) of each distinct fingerprint."""
     first = own.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    roots = components(links(first, radius))
+    roots = components(edges)
     tied = first.join(roots, first["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     return tied.join(least, "root").select("fingerprint", "root", "component_id")
 
 
-def _fingerprinted(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
+def _linked(docs: DataFrame, text: str, doc_id: str, words: int, radius: int | None, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fingerprint) of each row, without a radius the id of its set of shingles in the place of the fingerprint; and `named`."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return stored(fingerprints(rows, words=words).drop("text"), "simhash")
+    if radius is not None:
+        own = stored(fingerprints(rows, words=words).drop("text"), "simhash")
+        return own, named(own, links(own.select("fingerprint").distinct(), radius))
+    own, edges = shingles.linked(rows, words, similarity)
+    own = own.withColumnRenamed("set_id", "fingerprint")
+    return own, named(own, edges)
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as a long, component_id) for each row of docs."""
-    own = _fingerprinted(docs, text, doc_id, words)
-    return own.join(named(own, radius).drop("root"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = shingles.WORDS, radius: int | None = None, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """(doc_id, fingerprint as a long, component_id) for each row of docs; without a radius fingerprint is the id of the set of shingles."""
+    own, group = _linked(docs, text, doc_id, words, radius, similarity)
+    return own.join(group.drop("root"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = shingles.WORDS, radius: int | None = None, similarity: float = shingles.SIMILARITY) -> DataFrame:
     """One document of each group, that of the least doc_id. Where rows share an id (or have none), one row of the group with it."""
-    own = _fingerprinted(docs, text, doc_id, words)
-    group = named(own, radius).select(*[F.col(c).alias(f"__{c}") for c in ("fingerprint", "root", "component_id")])
+    own, group = _linked(docs, text, doc_id, words, radius, similarity)
+    group = group.select(*[F.col(c).alias(f"__{c}") for c in ("fingerprint", "root", "component_id")])
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__component_id"))
     if own.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # an id doesn't name a row: rows are told apart by their own fingerprints
-        rows = fingerprints(docs, text, words, "__fingerprint").join(group, "__fingerprint")
+        marked = shingles.set_ids(docs, text, words, "__fingerprint") if radius is None else fingerprints(docs, text, words, "__fingerprint")
+        rows = marked.join(group, "__fingerprint")
         return rows.filter(same).dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.join(group.select("__component_id").distinct(), same, "left_semi")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    out = groups(docs, words=3, radius=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
