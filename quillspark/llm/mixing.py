@@ -4,8 +4,9 @@ Documents are counted into cells (source, language, topic) with their tokens; al
 multiplies each cell's weight so that the weighted tokens meet the target shares of sources, then of languages, then of topics, `sweeps` times
 over; the cells are written to the shared folder every few sweeps. Without given targets, the target share of a source
 (language, topic) is its share of tokens to the power `temper`, normalised, which lifts small ones. A document's
-probability is its cell's weight times a constant, and 1 at most; the constant makes the sample's expected tokens the share `keep` of all. It
-is drawn if a hash of its id, uniform in [0, 1), is below that, so a draw can be repeated.
+probability is its cell's weight times a constant, and 1 at most; the constant makes the sample's expected tokens the share `keep` of all. Cells
+that are cut at 1 give less than their targets ask for; only with `keep=None`, where the constant is 1 / the greatest weight, does the sample meet the
+targets as the weights do. It is drawn if a hash of its id, uniform in [0, 1), is below that, so a draw can be repeated.
 
 Cases: null source, language or topic are values of their own (shown as null); a null text has no tokens and weighs nothing in the sums, but
 has its cell's probability (0 in a cell without any tokens and with no other); repeated rows of an id are drawn together; margins whose target isn't met by any token
@@ -77,12 +78,15 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, sweeps: int = SWE
     return out.select(*margins, "tokens", "weight")
 
 
-def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """cells with probability min(1, c x weight), where c makes the expected tokens `keep` of all.
+def calibrated(cells: DataFrame, keep: float | None = KEEP) -> DataFrame:
+    """cells with probability min(1, c x weight), where c makes the expected tokens `keep` of all, or is 1 / the greatest weight without `keep`.
 
     By falling weight, the first cells are taken whole; c follows from what the others must give. The first cell that
     this c doesn't lift over 1 settles it.
     """
+    if keep is None:
+        most = F.max(F.when(F.col("tokens") > 0, F.col("weight"))).over(Window.partitionBy())
+        return cells.withColumn("__most", most).select(*cells.columns, F.when(F.col("__most") > 0, F.least(F.lit(1.0), F.round(F.col("weight") / F.col("__most"), 9))).otherwise(0.0).alias("probability"))
     order = Window.partitionBy().orderBy(F.desc("weight"), *[F.col(m).asc_nulls_first() for m in MARGINS])
     every = Window.partitionBy()
     mass = F.col("weight") * F.col("tokens")
@@ -95,7 +99,7 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     return out.select(*cells.columns, F.round(F.least(F.lit(1.0), F.col("__c") * F.col("weight")), 9).alias("probability"))
 
 
-def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", topic: Column | None = None, sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", topic: Column | None = None, sweeps: int = SWEEPS, temper: float = TEMPER, keep: float | None = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """docs with __topic, __tokens, __weight, __probability and __sampled."""
     # counted once; the text doesn't travel with the counts
     docs = docs.withColumn("__topic", topic_of(F.col(text)) if topic is None else topic).withColumn("__tokens", token_count(F.col(text)))
