@@ -21,3 +21,7 @@ class NotFoundError(QuillError):
     def __init__(self, message: str, suggestions: tuple | list = ()):
         super().__init__(message)
         self.suggestions = list(suggestions)
+
+
+class StoreBusyError(QuillError):
+    """Another process is writing the index and didn't end in time."""

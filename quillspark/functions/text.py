@@ -26,31 +26,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _ends(w: Column, endings) -> Column:
-    return F.regexp_like(w, F.lit("(" + "|".join(endings) + ")$"))
-
-
-def light_stem(word: Column) -> Column:
-    """Common English endings off: plural, -ing and -ed (with a doubled consonant), final e. Words of three letters stay."""
-
-    def plural(w: Column) -> Column:
-        n = F.length(w)
-        return (
-            F.when(w.endswith("ies") & (n > 4), F.concat(w.substr(F.lit(1), n - 3), F.lit("y")))
-            .when(_ends(w, ES_ENDINGS), w.substr(F.lit(1), n - 2))
-            .when(w.endswith("s") & ~_ends(w, KEPT_S), w.substr(F.lit(1), n - 1))
-            .otherwise(w)
-        )
-
-    def participle(w: Column) -> Column:
-        n = F.length(w)
-        cut = F.when(w.endswith("ing") & (n >= 5), F.lit(3)).when(w.endswith("ed") & (n >= 4), F.lit(2)).otherwise(F.lit(0))
-        return let(F.struct(w.substr(F.lit(1), n - cut).alias("w"), (cut > 0).alias("was")), lambda s: F.when(s["was"] & (F.length(s["w"]) > 3) & F.regexp_like(s["w"], F.lit(r"([^lsz])\1$")), s["w"].substr(F.lit(1), F.length(s["w"]) - 1)).otherwise(s["w"]))
-
-    def final_e(w: Column) -> Column:
-        return F.when(w.endswith("e") & (F.length(w) > 2), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)
-
-    return F.when(F.length(word) <= 3, word).otherwise(let(let(let(word, plural), participle), final_e))
+# Steps of the light stemmer over words parted by single spaces. Words of up to three characters are set aside first (\u0002 before them); \u0003 marks
+# a word that lost -ing or -ed.
+_STEMMING = (
+    (r"(?<![^ ])([^ ]{1,3})(?![^ ])", "\u0002$1"),
+    (r"(?<![^ ])([^ \u0002]{2,})ies(?![^ ])", "$1y"),
+    (rf"(?<![^ ])([^ \u0002]*(?:{'|'.join(e.removesuffix('es') for e in ES_ENDINGS)}))es(?![^ ])", "$1"),
+    (rf"(?<![^ ])([^ \u0002]{{2,}}[^ {''.join(e[0] for e in KEPT_S)}])s(?![^ ])", "$1"),
+    (r"(?<![^ ])([^ \u0002]{2,})(?:ing|ed)(?![^ ])", "$1\u0003"),
+    (r"(?<![^ ])([^ ]{2,})([^lsz ])\2\u0003", "$1$2"),
+    ("\u0003", ""),
+    (r"(?<![^ ])([^ \u0002]{2,})e(?![^ ])", "$1"),
+    ("\u0002", ""),
+)
+
+
+def light_stem(words: Column) -> Column:
+    """Common English endings off each of some words with single spaces between: plural, -ing and -ed (with a doubled consonant), final e. Words of three letters stay."""
+    for pattern, by in _STEMMING:
+        words = F.regexp_replace(words, pattern, by)
+    return words
 
 
 def slug(text: Column) -> Column:

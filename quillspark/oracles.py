@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from .plans.querylang import Phrase
-from .queries import FUNCTION_WORDS, MATCHES, PHRASES, SECTION_FIELDS, WEIGHTS
+from .queries import CLAIM_STOP_WORDS, MATCHES, PHRASES, SECTION_FIELDS, WEIGHTS
 
 T = r"list_transform(regexp_extract_all(coalesce({c}, ''), '[\p{{L}}\p{{N}}]+'), lambda x: lower(x))"
 DOCS = "docs AS (SELECT doc_id, lang, source, text, split_part(text, chr(10), 1) AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body, concat_ws(' ', lang, source) AS tags FROM documents)"
@@ -93,7 +93,13 @@ def oracle_sql() -> dict[str, str]:
     top = "SELECT * FROM r ORDER BY score DESC, doc_id LIMIT 10"
     flat = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
     sections = "sx AS (SELECT doc_id, CAST(i AS INTEGER) AS ord, regexp_extract(x, '(\\S+)', 1) AS heading, x AS body FROM (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(x) <> '')"
-    quoted = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+    quoted = ", ".join(f"'{w}'" for w in CLAIM_STOP_WORDS)
+    claims = (
+        f"u AS (SELECT doc_id, unnest({sentences_sql('text')}) AS sentence FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -conv_id - 1, text FROM conversations)),"
+        f" v AS (SELECT row_number() OVER () AS r, doc_id, list_filter({_toks('sentence')}, lambda x: x NOT IN ({quoted})) AS a FROM u), x AS (SELECT * FROM v WHERE len(a) BETWEEN 3 AND 60),"
+        f" o AS (SELECT r, doc_id, unnest(a) AS w, unnest(range(len(a))) AS i FROM x), s0 AS (SELECT DISTINCT w FROM o), {STEM},"
+        " c AS (SELECT r, doc_id, string_agg(stem, ' ' ORDER BY i) AS claim FROM o JOIN s4 USING (w) GROUP BY r, doc_id)"
+    )
     return {
         "markdown_documents": f"WITH {_HEADS}, n AS (SELECT page_id, count(*) AS n FROM g GROUP BY page_id) SELECT p.page_id, 'Page ' || p.page_id AS title, 'page,odd' AS tag_list, 1 + coalesce(n, 0) AS n_sections, true AS has_title, false AS has_summary, CAST(0 AS BIGINT) AS n_warnings FROM pages p LEFT JOIN n USING (page_id)",
         "tokenize_postings": f"SELECT doc_id, CAST(unnest(range(len(t))) AS INTEGER) AS pos, unnest(t) AS term FROM (SELECT doc_id, {_toks('text')} AS t FROM documents)",
@@ -120,10 +126,26 @@ def oracle_sql() -> dict[str, str]:
         ),
         "slugify_first_line": f"WITH {DOCS} SELECT doc_id, {_SLUG.format(c='title')} AS anchor FROM docs",
         "page_headings_outline": f"WITH {_HEADS} SELECT page_id, ord, level, heading FROM g",
-        "page_heading_anchors": f"WITH {_HEADS}, b AS (SELECT page_id, ord, {_SLUG.format(c='heading')} AS s FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY page_id, s ORDER BY ord) - 1 AS k FROM b) SELECT page_id, ord, CASE WHEN k > 0 THEN s || '-' || k ELSE s END AS anchor FROM n",
+        # headings in order; each takes the first name of its own that none before it has
+        "page_heading_anchors": (
+            f"WITH RECURSIVE {_HEADS}, b AS (SELECT page_id, ord, coalesce(nullif({_SLUG.format(c='heading')}, ''), 'section') AS s FROM g),"
+            " r AS (SELECT page_id, ord, s AS anchor, [s] AS taken FROM b WHERE ord = 0 UNION ALL"
+            " SELECT page_id, ord, anchor, list_append(taken, anchor) FROM (SELECT b.page_id, b.ord, r.taken,"
+            " list_filter(list_transform(range(0, len(r.taken) + 1), lambda k: CASE WHEN k = 0 THEN b.s ELSE b.s || '-' || k END), lambda x: NOT list_contains(r.taken, x))[1] AS anchor"
+            " FROM r JOIN b ON b.page_id = r.page_id AND b.ord = r.ord + 1)) SELECT page_id, ord, anchor FROM r"
+        ),
         "page_links": f"WITH {_LINKS} SELECT page_id, ord, target, anchor FROM l",
         "page_backlinks": f"WITH {_LINKS}, p AS (SELECT page_id, url, {_PATH} AS path FROM pages), e AS (SELECT DISTINCT l.page_id AS source, p.page_id AS key FROM l JOIN p ON (l.target = p.url OR l.target = p.path) AND l.page_id <> p.page_id) SELECT p.page_id AS key, count(e.source) AS n_in FROM p LEFT JOIN e ON e.key = p.page_id GROUP BY p.page_id",
         "page_broken_links": f"WITH {_LINKS} SELECT page_id AS source, count(*) AS n_broken FROM l WHERE target <> '' AND target NOT IN (SELECT url FROM pages) AND target NOT IN (SELECT {_PATH} FROM pages) GROUP BY page_id",
+        "resolve_suffix": (
+            r"WITH n AS (SELECT page_id AS key, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(.*)$', 1) AS id, url AS path FROM pages),"
+            r" q AS (SELECT DISTINCT ref FROM (SELECT upper(regexp_extract(url, '([^/]*)$', 1)) AS ref FROM pages UNION ALL SELECT url FROM pages)),"
+            r" c AS (SELECT ref, regexp_replace(replace(trim(ref), '\', '/'), '^(\./|/)+', '') AS r FROM q), l AS (SELECT *, lower(regexp_replace(r, '(?i)\.(md|markdown|mdx|html)$', '')) AS loose FROM c),"
+            r" m AS (SELECT *, lower(regexp_replace(id, '(?i)\.(md|markdown|mdx|html)$', '')) AS lid, lower(regexp_replace(path, '(?i)\.(md|markdown|mdx|html)$', '')) AS lpath FROM n),"
+            " f AS (SELECT ref, key, CASE WHEN r = id OR r = path THEN 1 WHEN loose = lid OR loose = lpath THEN 2 WHEN ends_with(lid, '/' || loose) THEN 3 END AS stage FROM l, m WHERE r IN (id, path) OR loose IN (lid, lpath) OR ends_with(lid, '/' || loose)),"
+            " s AS (SELECT ref, min(stage) AS stage FROM f GROUP BY ref), g AS (SELECT ref, count(DISTINCT key) AS n, min(key) AS k FROM f JOIN s USING (ref, stage) GROUP BY ref)"
+            " SELECT q.ref, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN k END AS key FROM q LEFT JOIN g USING (ref)"
+        ),
         "sync_diff": (
             f"WITH {_NEW}, {_OLD}, j AS (SELECT coalesce(n.path, o.path) AS path, n.id AS ni, o.id AS oi, n.hash AS nh, o.hash AS oh FROM new n FULL JOIN old o ON n.path = o.path)"
             " SELECT path, ni AS id, 'added' AS change FROM j WHERE oi IS NULL OR ni <> oi UNION ALL SELECT path, oi, 'removed' FROM j WHERE ni IS NULL OR ni <> oi"
@@ -134,10 +156,11 @@ def oracle_sql() -> dict[str, str]:
         "lint_docs": f"WITH {DOCS}, w AS (SELECT doc_id, title, {words('text')} AS n FROM docs) SELECT doc_id, 'warning' AS severity, 'no title' AS rule FROM w WHERE trim(coalesce(title, '')) = '' UNION ALL SELECT doc_id, 'warning', 'empty' FROM w WHERE n = 0 UNION ALL SELECT doc_id, 'warning', 'too long' FROM w WHERE n > 2500",
         "exclude_globs": f"WITH p AS (SELECT page_id, ltrim({_PATH}, '/') AS path FROM pages) SELECT page_id, path, path GLOB '**/*[0-4].html' OR path GLOB '*[0-4].html' OR path GLOB '*/1*' OR path GLOB 'page?' AS excluded FROM p",
         "sentence_split": f"SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) AS n, unnest(a) AS sentence FROM (SELECT doc_id, {sentences_sql('text')} AS a FROM documents)",
-        "claims_grouped": (
-            f"WITH u AS (SELECT doc_id, unnest({sentences_sql('text')}) AS sentence FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -conv_id - 1, text FROM conversations)),"
-            f" v AS (SELECT row_number() OVER () AS r, doc_id, list_filter({_toks('sentence')}, lambda x: x NOT IN ({quoted})) AS a FROM u), x AS (SELECT * FROM v WHERE len(a) BETWEEN 3 AND 60),"
-            f" o AS (SELECT r, doc_id, unnest(a) AS w, unnest(range(len(a))) AS i FROM x), s0 AS (SELECT DISTINCT w FROM o), {STEM},"
-            " c AS (SELECT r, doc_id, string_agg(stem, ' ' ORDER BY i) AS claim FROM o JOIN s4 USING (w) GROUP BY r, doc_id) SELECT claim, count(*) AS n_statements, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM c GROUP BY claim"
+        "similar_pairs_dice": (
+            f"WITH {claims}, t AS (SELECT DISTINCT claim, unnest(string_split(claim, ' ')) AS w FROM c), z AS (SELECT claim, count(*) AS n FROM t GROUP BY claim),"
+            " p AS (SELECT a.claim AS x, b.claim AS y, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.claim < b.claim GROUP BY a.claim, b.claim),"
+            " d AS (SELECT x, y, shared, zx.n AS nx, zy.n AS ny FROM p JOIN z zx ON zx.claim = x JOIN z zy ON zy.claim = y WHERE 2 * shared >= 0.5 * (zx.n + zy.n))"
+            " SELECT CASE WHEN nx <= ny THEN x ELSE y END AS small, CASE WHEN nx <= ny THEN y ELSE x END AS large, CAST(shared AS INTEGER) AS shared, round(2.0 * shared / (nx + ny), 4) AS similarity FROM d"
         ),
+        "claims_grouped": f"WITH {claims} SELECT claim, count(*) AS n_statements, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM c GROUP BY claim",
     }

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import reading, retrieval, similarity, sync
+from .operators.statements import FUNCTION_WORDS
 from .plans.querylang import Phrase, parse
 
 #: Searches of the corpus's own words.
 SEARCH = "hean reth tion blend"
 PHRASES = parse(SEARCH)
 WEIGHTS = {"title": 3.0, "tags": 1.5, "body": 1.0}
-# Words without a claim of their own.
-FUNCTION_WORDS = tuple("a an the this that these those it its of to in on at for from by with as into onto via per and or but so then also just very really both is are was were be been being am has have had having do does did doing will would shall i me my we us our you your he she they them their his her there here which who whom whose what how see refer".split())
+#: Words without a claim of their own that are one token.
+CLAIM_STOP_WORDS = tuple(sorted(w for w in FUNCTION_WORDS if w.isalnum()))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +121,7 @@ def search_indexed(s, d):
     """The flagship search over postings: the same scores by the other plan."""
     docs = documents(s, d)
     phrases = retrieval.phrase_rows(s, {0: PHRASES})
-    scored = retrieval.indexed_search(retrieval.postings(docs, "doc_id", _fields()), retrieval.lengths(docs, "doc_id", _fields()), phrases, "doc_id", WEIGHTS)
+    scored = retrieval.indexed_search(retrieval.index(docs, "doc_id", _fields()), retrieval.lengths(docs, "doc_id", _fields()), phrases, "doc_id", WEIGHTS)
     return retrieval.top(scored.select("doc_id", "score"), "doc_id", 10)
 
 
@@ -130,7 +131,7 @@ def search_batch_topk(s, d):
 
     docs = documents(s, d)
     phrases = parsed(load(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    scored = retrieval.indexed_search(retrieval.postings(docs, "doc_id", _fields()), retrieval.lengths(docs, "doc_id", _fields()), phrases, "doc_id", WEIGHTS)
+    scored = retrieval.indexed_search(retrieval.index(docs, "doc_id", _fields()), retrieval.lengths(docs, "doc_id", _fields()), phrases, "doc_id", WEIGHTS)
     return retrieval.top_each(scored, "query_id", "doc_id", 5)
 
 
@@ -319,9 +320,10 @@ def _claims(s, d):
     docs = load(s, d, "documents").select("doc_id", F.col("text"))
     talks = load(s, d, "conversations").select((-F.col("conv_id") - 1).alias("doc_id"), "text")
     rows = docs.unionByName(talks).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("sentence"))
-    words = F.filter(X.tokens(F.col("sentence")), lambda w: ~w.isin(*FUNCTION_WORDS))
-    rows = rows.select("doc_id", F.transform(words, X.light_stem).alias("terms")).filter(F.size("terms").between(3, 60))
-    return rows.select("doc_id", "terms", F.array_join("terms", " ").alias("claim"))
+    words = F.filter(X.tokens(F.col("sentence")), lambda w: ~w.isin(*CLAIM_STOP_WORDS))
+    rows = rows.select("doc_id", words.alias("words")).filter(F.size("words").between(3, 60))
+    rows = rows.select("doc_id", X.light_stem(F.array_join("words", " ")).alias("claim"))
+    return rows.select("doc_id", F.split("claim", " ").alias("terms"), "claim")
 
 
 def claims_grouped(s, d):

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import shutil
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import StoreBusyError
 from .config import MEMORY
 
-SCHEMA_VERSION = 1
-POINTER = "_CURRENT"
+SCHEMA_VERSION = 2
+POINTER, LOCK = "_CURRENT", "_LOCK"
 TABLES = ("documents", "sections", "tags", "links", "postings", "lengths", "section_postings", "section_lengths")
 
 
@@ -33,11 +39,39 @@ class Store:
             if meta.get("schema_version") != SCHEMA_VERSION:
                 raise ValueError("another schema")
             held = {t: self.spark.read.parquet(f"{self.path}/{meta['version']}/{t}") for t in TABLES}
-        except Exception:  # missing, unreadable or of another schema: it is built anew
+        except (FileNotFoundError, NotADirectoryError, ValueError, KeyError, AnalysisException):  # missing, broken or of another schema: it is built anew; other errors are the caller's
             self.held, self.meta = {}, {}
             return
         self.held, self.meta = held, meta
 
+    @contextmanager
+    def locked(self, wait: float = 30.0) -> Iterator[None]:
+        """One writer at a time; the tables are those of the last writer. Waits for so many seconds."""
+        if self.path == MEMORY:
+            yield
+            return
+        Path(self.path).mkdir(parents=True, exist_ok=True)
+        with open(Path(self.path) / LOCK, "w") as f:
+            until = time.monotonic() + wait
+            while True:
+                try:
+                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    break
+                except BlockingIOError:
+                    if time.monotonic() > until:
+                        raise StoreBusyError(f"another process is writing {self.path}") from None
+                    time.sleep(0.05)
+            version = self.meta.get("version")
+            if self._stored_version() != version:
+                self._load()
+            yield
+
+    def _stored_version(self) -> str | None:
+        try:
+            return json.loads((Path(self.path) / POINTER).read_text()).get("version")
+        except (OSError, ValueError):
+            return None
+
     def __bool__(self) -> bool:
         return bool(self.held)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from difflib import get_close_matches
 from pathlib import Path
 
 import duckdb
@@ -9,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import oracles, queries
-from quillspark.operators import conflicts, retrieval, similarity
+from quillspark.functions.text import light_stem
+from quillspark.operators import conflicts, reading, retrieval, similarity, suggest
 from quillspark.operators.statements import contrast, sentences, stem, terms
 from quillspark.plans.querylang import parse
 
 DATA = Path("/root/testdata/sf0.001")
-LIGHT = ["search_topk", "search_tag_all", "best_sections_top2", "match_exclude", "phrase_match_k", "summary_shorten", "page_backlinks", "sync_diff", "claims_grouped", "light_stem_vocab", "exclude_globs", "duplicate_ids_first_wins"]
+LIGHT = ["search_topk", "search_tag_all", "best_sections_top2", "match_exclude", "phrase_match_k", "summary_shorten", "page_backlinks", "sync_diff", "claims_grouped", "light_stem_vocab", "exclude_globs", "duplicate_ids_first_wins", "page_heading_anchors", "resolve_suffix", "similar_pairs_dice", "search_indexed"]
 
 
 @pytest.fixture(scope="module")
@@ -53,8 +55,8 @@ def test_scan_and_index_agree(spark):
     docs = spark.createDataFrame(rows, "doc long, body string, title string")
     fields = {"title": F.col("title"), "body": F.col("body")}
     weights = {"title": 3.0, "body": 1.0}
-    searches = {0: parse("green blue"), 1: parse('"green blue" red'), 2: parse("red -two one"), 3: parse('"one two"')}
-    indexed = retrieval.indexed_search(retrieval.postings(docs, "doc", fields), retrieval.lengths(docs, "doc", fields), retrieval.phrase_rows(spark, searches), "doc", weights)
+    searches = {0: parse("green blue"), 1: parse('"green blue" red'), 2: parse("red -two one"), 3: parse('"one two"'), 4: parse('"red red" "one two the"'), 5: parse("gre blu")}
+    indexed = retrieval.indexed_search(retrieval.index(docs, "doc", fields), retrieval.lengths(docs, "doc", fields), retrieval.phrase_rows(spark, searches), "doc", weights)
     by_query = {}
     for r in indexed.collect():
         by_query.setdefault(r["query_id"], {})[r["doc"]] = r["score"]
@@ -63,6 +65,58 @@ def test_scan_and_index_agree(spark):
         assert by_query.get(q, {}) == pytest.approx(want, abs=2e-6), q
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_batch_is_one_search_after_another(spark):
+    """Some of the searches of search_batch_topk, each on its own over the raw texts."""
+    got = {}
+    for r in queries.search_batch_topk(spark, str(DATA)).collect():
+        got.setdefault(r["query_id"], {})[r["doc_id"]] = r["score"]
+    docs = queries.documents(spark, str(DATA))
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").limit(3).collect():
+        scored = retrieval.scan_search(docs, "doc_id", {c: F.col(c) for c in queries.FIELDS}, parse(r["text"]), queries.WEIGHTS)
+        want = {x["doc_id"]: x["score"] for x in retrieval.top(scored, "doc_id", 5).collect()}
+        assert got.get(r["item_id"], {}) == pytest.approx(want, abs=5e-6)
+
+
+def test_counting_in_texts():
+    from quillspark.plans.querylang import Phrase
+
+    count = lambda text, *tokens, prefix=False: len(re.findall(java(retrieval.pattern(Phrase(tokens, "any", prefix))), text))
+    java = lambda p: p.replace(r"[\p{L}\p{N}]", r"[^\W_]").replace(r"[^\p{L}\p{N}]", r"[\W_]")
+    assert count("a a_a aa a", "a") == 4 and count("a a a", "a", "a") == 2 and count("ab abc xab", "ab", prefix=True) == 2
+    assert count("the, old man; the older", "the", "old") == 1 and count("the, old man; the older", "the", "old", prefix=True) == 2
+
+
+def test_suggestions_are_those_of_close_matches(spark):
+    rnd = random.Random(5)
+    names = sorted({"".join(rnd.choices("abcdXY-/é", k=rnd.randint(1, 9))) for _ in range(150)} | {"abcd", "axbxcxd", "cats"})
+    asked = sorted({"".join(rnd.choices("abcdxyé", k=rnd.randint(1, 8))) for _ in range(40)} | {"abc", "abcd", "cat", ""})
+    out = suggest.suggest(spark.createDataFrame([(x,) for x in asked], "asked string"), spark.createDataFrame([(x,) for x in names], "name string"), most=1000).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["asked"], set()).add(r["name"])
+    assert all(got.get(x, set()) == set(get_close_matches(x, names, n=1000, cutoff=0.5)) for x in asked if x)
+    best = suggest.suggest(spark.createDataFrame([("abc",)], "asked string"), spark.createDataFrame([(x,) for x in names], "name string"))
+    assert [r["rank"] for r in best.orderBy("rank").collect()] == [1, 2, 3, 4, 5] and best.orderBy("rank").first()["name"] in get_close_matches("abc", names, n=5, cutoff=0.5)
+
+
+def test_anchors_that_collide(spark):
+    from quillspark.sources.markdown import Anchors
+
+    heads = ["Setup", "Setup", "Setup-1", "Setup", "", "", "Setup-1", "A B", "a b", "a-b-1"]
+    page = spark.createDataFrame([(1, "".join(f"<h2>{h}</h2>" for h in heads)), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
+    own = Anchors()
+    assert [r["anchor"] for r in reading.html_headings(page).orderBy("ord").collect()] == [own.new(h) for h in heads]
+
+
+def test_light_stems_of_both_forms(spark):
+    rnd = random.Random(6)
+    ends = ["", "s", "es", "ies", "ing", "ed", "e", "sses", "ches", "us", "is", "ss", "pping", "lled", "eed"]
+    words = sorted({"".join(rnd.choices("abcdelpstz", k=rnd.randint(1, 5))) + rnd.choice(ends) for _ in range(3000)})
+    rows = spark.createDataFrame([(" ".join(words),)], "w string").select(light_stem(F.col("w")).alias("s")).first()["s"].split(" ")
+    assert rows == [stem(w) for w in words]
+
+
 def test_similar_pairs_are_those_of_brute_force(spark):
     rnd = random.Random(7)
     words = [f"w{i}" for i in range(30)]
