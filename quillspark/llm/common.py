@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir. Only where that is unset (tests), a local one is set."""
+    """A new folder name under spark.checkpoint.dir. Only in local mode (tests), where that is unset, a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get() if kept.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
@@ -70,7 +73,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.Str
                     [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns.values(), arrow, strict=True)], schema=arrow
                 )
 
-    return df.mapInArrow(run, out)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, out)  # fn goes by places; Spark takes a dot in a name for a field of a struct
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -82,5 +85,55 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def sample_ids(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` rows, the same ones each time: those of the smallest hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
+    """Rows of at most `most` distinct keys, one each and the same ones each time: those of the smallest hash."""
+    return df.dropDuplicates([key]).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns: those wanted, made longer where the table has one that differs in case at most."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_buckets(ordered: DataFrame, fn: Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]], schema: str) -> DataFrame:
+    """What fn makes of columns of numbers, of which the first is the key of a bucket; partitions are sorted by it and hold whole buckets.
+
+    fn gets some whole buckets at a time; a bucket of one row is left out.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def found(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate([[True], c[0][1:] != c[0][:-1]])
+        alone = new & np.concatenate([new[1:], [True]])
+        for part in fn([x[~alone] for x in c]):
+            if len(part[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []  # rows of a bucket that may go on in the next batch, joined once it ends
+        for batch in batches:
+            c = [x.to_numpy() for x in batch.columns]
+            if not len(c[0]):
+                continue
+            if parts and c[0][-1] == parts[0][0][0]:
+                parts.append(c)
+                continue
+            c = [np.concatenate(x) for x in zip(*parts, c, strict=True)]
+            cut = int(np.searchsorted(c[0], c[0][-1]))
+            if cut:
+                yield from found([x[:cut] for x in c])
+            parts = [[x[cut:] for x in c]]
+        if parts:
+            yield from found([np.concatenate(x) for x in zip(*parts, strict=True)])
+
+    return ordered.mapInArrow(run, schema)

@@ -26,7 +26,8 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (u, v) to (node, root): root is the least node of the component. Nodes without edges are not in it.
 
-    Every round is written to the shared folder; it ends when a round changes nothing.
+    Every round is written to the shared folder; it ends when a round changes nothing. Rounds grow with the logarithm of the longest way between two
+    nodes; should `rounds` not be enough, it raises an error.
     """
     e = stored(edges.select("u", "v").filter("u <> v").distinct(), "cc")
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))

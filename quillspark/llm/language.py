@@ -1,13 +1,14 @@
 r"""Language of words and texts by a linear-chain conditional random field.
 
-A text is a sequence of lines, a line a chain of words (of at most CHAIN, then a new chain begins). The label of a word
+A text is a sequence of lines, a line a chain of words, however long. The label of a word
 is a language. Emissions sum learned weights of the word's affixes and character n-grams (n-grams with marks at the ends
 of the word are its affixes) and, for words frequent in the learning sample, of the word itself (the lexicon); learned
-transitions tie neighbouring words. Forward-backward gives each word's posterior. The text's language has the
+transitions tie neighbouring words. Forward-backward gives each word's posterior; a chain of more than BLOCK words is passed in blocks, over which
+the weights of all ways through are carried, so that posteriors are those of the whole chain. The text's language has the
 largest sum of posteriors, its share of the words is the score.
 
 Learning takes text and language of about `most` documents of each language of the learning folds (those of the smallest
-hashes of the id), and of each at most `each` pieces, spread over the whole text. Sequences are made of such pieces, so that
+hashes of the id; with more than LANGUAGES languages fewer of each, so that the sample keeps its size), and of each at most `each` pieces, spread over the whole text. Sequences are made of such pieces, so that
 transitions between languages are seen.
 
 Cases: a null text, or one without a letter, is `und` with score 0; without any learning rows every text is; repeated rows get equal
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import fold, map_arrow
 
-MOST = 1_500
-CHAIN = 256
+MOST, LANGUAGES = 1_500, 40
+BLOCK = 256
 MEMO = 150_000
 BUCKETS = 1 << 16
 TOKEN = re.compile(r"[^\W\d_]+|\n")
@@ -76,30 +77,63 @@ class Field:
         return out
 
 
-def forward_backward(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Posteriors of all rows. e: emissions (log) of the sequences' words, one after another; all chains advance together."""
+def _in_step(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of chains by falling length, and how many go on at each step."""
+    order = np.argsort(-size, kind="stable")
+    steps = int(size[order[0]]) if len(size) else 0
+    return order, np.searchsorted(-size[order], -np.arange(steps), side="left")
+
+
+def _ways(p: np.ndarray, starts: np.ndarray, lengths: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each block the weights (up to a factor) of all ways from a label of its first word to one of its last."""
+    k = p.shape[1]
+    order, active = _in_step(lengths)
+    at, out = starts[order], np.tile(np.eye(k), (len(starts), 1, 1))
+    for t, n in enumerate(active):
+        step = (out[:n] @ m if t else out[:n]) * p[at[:n] + t][:, None, :]
+        out[:n] = step / step.sum(axis=(1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def forward_backward(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Posteriors of all rows. e: emissions (log) of the sequences' words, one after another; all blocks of all chains advance together."""
     p = np.exp(e - e.max(axis=1, keepdims=True)) + 1e-30
     m, s = np.exp(moves), np.exp(start - start.max())
-    order = np.argsort(-lengths, kind="stable")
-    at, size = starts[order], lengths[order]
-    steps = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(steps), side="left")  # chains longer than t
+    parts = -(-lengths // block)
+    chain = np.repeat(np.arange(len(starts)), parts)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    at, size = starts[chain] + nth * block, np.minimum(block, lengths[chain] - nth * block)
+    enter, leave = np.tile(s, (len(at), 1)), np.ones((len(at), p.shape[1]))
+    inner = np.flatnonzero(parts[chain] > 1)
+    if len(inner):  # what comes into each block from the left and from the right
+        ways = _ways(p, at[inner], size[inner], m)
+        first, last = nth[inner] == 0, nth[inner] == parts[chain[inner]] - 1
+        for i, b in enumerate(inner.tolist()):
+            if not first[i]:
+                on = enter[b - 1] @ ways[i - 1] @ m
+                enter[b] = on / on.sum()
+        for i in range(len(inner) - 1, -1, -1):
+            if not last[i]:
+                on = m @ (ways[i + 1] @ leave[inner[i] + 1])
+                leave[inner[i]] = on / on.sum()
+    order, active = _in_step(size)
+    at, enter, leave = at[order], enter[order], leave[order]
     alpha = np.empty_like(p)
-    a = np.tile(s, (len(at), 1))
-    for t in range(steps):
-        k = active[t]
+    a = enter
+    for t, k in enumerate(active):
         rows = at[:k] + t
         a = (a[:k] @ m if t else a[:k]) * p[rows]
         a /= a.sum(axis=1, keepdims=True)
         alpha[rows] = a
     b = np.ones((0, p.shape[1]))
-    for t in range(steps - 1, -1, -1):
+    for t in range(len(active) - 1, -1, -1):
         k = active[t]
         rows = at[:k] + t
-        fresh = np.ones((k, p.shape[1]))
-        if len(b):
-            on = (b * p[rows[: len(b)] + 1]) @ m.T
-            fresh[: len(b)] = on / on.sum(axis=1, keepdims=True)
+        fresh = leave[:k].copy()
+        on = (b * p[rows[: len(b)] + 1]) @ m.T
+        fresh[: len(b)] = on / on.sum(axis=1, keepdims=True)
         b = fresh
         alpha[rows] *= b
     return alpha / alpha.sum(axis=1, keepdims=True)
@@ -212,9 +246,7 @@ class Labeller:
         ids_, doc = flat[word], doc[word]
         if not len(ids_):
             return doc, np.zeros((0, len(self.field.langs)))
-        first = np.concatenate([[True], line[1:] != line[:-1]])
-        begin = np.maximum.accumulate(np.where(first, np.arange(len(line)), 0))
-        starts = np.flatnonzero((np.arange(len(line)) - begin) % CHAIN == 0)
+        starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(line)]]))
         return doc, forward_backward(self.table[ids_], starts, lengths, self.field.start, self.field.moves)
 
@@ -241,11 +273,12 @@ def cut_pieces(text: str, size: int, most: int) -> list[str]:
 def train(docs: DataFrame, folds: int = 4, held: int = 2, most: int = MOST, size: int = 8, each: int = 40) -> Field:
     """docs: doc_id, text, lang. The held-out fold isn't read. Each language gives its own bounded sample of documents."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
+    count = known.select(F.count_distinct("lang")).first()[0]
+    most = max(1, most * LANGUAGES // max(LANGUAGES, count))
     order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
     # of each language, the documents of the smallest hashes: first within parts of it, so no task sorts a whole language
     ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(1, most // 64)).select("doc_id", "lang").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "lang").limit(40 * most)
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"pieces": [cut_pieces(t or "", size, each) for t in batch.column(0).to_pylist()], "lang": batch.column(1)}

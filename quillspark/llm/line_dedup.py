@@ -4,22 +4,24 @@ A line's key is the line without `[\x20\x09-\x0D]` at its ends and with A-Z in l
 `min_chars` code points that occur in at least `min_docs` documents lose their lines in all of them but the one with
 the largest doc_id. What is known of the corpus is a `LineState`:
 
-* `refs`: a row (k1, k2, doc_id) for each key (as a 128-bit hash) and document that holds it: the exact references;
+* `refs`: a row (k1, k2, doc_id) for each key (as a 128-bit hash) and document that holds it: the exact references, as a
+  log of what came and went, so that a change writes its own rows only;
 * `hot`: each key with enough references, their number and the largest doc_id;
 * `filters`: for each shard of the hot keys a cuckoo filter, which also supports deletion.
 
 `insert` and `delete` add and take back documents. Only keys that these documents hold are counted anew, and keys that
 cross the threshold enter or leave their shard's filter, so deleting what was inserted restores the state.
-`apply` asks the filters first; only lines that they may know are looked up in the exact table, so a false positive
-costs a lookup and changes no result. Filters are broadcast while their total stays under `broadcast_bytes`; beyond
-it every line is looked up in the exact table.
+`apply` deals the distinct keys of its documents to their shards, where the filter is asked first; only keys that it may know are
+looked up in the exact table, so a false positive costs a lookup and changes no result. A shard has about SHARD_KEYS keys at any size.
 
 Cases: a null or empty text is one empty line; repeated rows of a doc_id are one document, and each row is treated
-alike; a null doc_id counts as the smallest; a document that loses all lines keeps an empty text; other columns stay.
+alike; a null doc_id counts as the smallest; a document that loses all lines keeps an empty text; other columns stay, but for
+those of the two added names.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, short_batches, stored
+from .common import col, fresh, map_arrow, short_batches, stored
 
 BLANK = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 250_000
-BROADCAST_BYTES = 64 << 20
+#: Keys that hold at least this part of all references are broadcast; there are as many at most.
+COMMON = 1_000
+#: Pieces of the log, after which it is written anew.
+MOST_PIECES = 16
 
 
 class CuckooFilter:
@@ -134,18 +139,33 @@ def references(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
 
     short_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("doc_id", kind)])
-    return docs.select(doc_id, text).mapInArrow(run, schema).distinct()
+    return docs.select(col(doc_id), col(text)).mapInArrow(run, schema).distinct()
 
 
 @dataclass
 class LineState:
-    refs: DataFrame
+    log: list[DataFrame]  # (k1, k2, doc_id, delta): references that came and went
     hot: DataFrame
     filters: DataFrame
     shards: int
     min_docs: int
     min_chars: int
 
+    @property
+    def refs(self) -> DataFrame:
+        """(k1, k2, doc_id) as they are now."""
+        return self.refs_of(None)
+
+    def refs_of(self, keys: DataFrame | None) -> DataFrame:
+        """The references of some keys (k1, k2)."""
+        own = [x if keys is None else x.join(keys, ["k1", "k2"], "left_semi") for x in self.log]
+        if len(own) == 1:
+            return own[0].select("k1", "k2", "doc_id")
+        every = own[0]
+        for x in own[1:]:
+            every = every.unionByName(x)
+        return every.groupBy("k1", "k2", "doc_id").agg(F.sum("delta").alias("delta")).filter("delta > 0").select("k1", "k2", "doc_id")
+
 
 def _hot(refs: DataFrame, min_docs: int) -> DataFrame:
     return refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")).filter(F.col("n_docs") >= min_docs)
@@ -166,16 +186,20 @@ def _filters(hot: DataFrame, shards: int) -> DataFrame:
 
 
 def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 5, min_chars: int = 40) -> LineState:
-    refs = references(docs, text, doc_id, min_chars)
+    """The state of docs. All its tables are in the shared folder; there are as many shards as references need at SHARD_KEYS each."""
+    refs = stored(references(docs, text, doc_id, min_chars), "line-refs")
     hot = stored(_hot(refs, min_docs), "line-hot")
-    shards = max(8, -(-hot.count() // SHARD_KEYS))
-    return LineState(refs, hot, _filters(hot, shards), shards, min_docs, min_chars)
+    shards = max(8, -(-refs.count() // SHARD_KEYS))
+    return LineState([refs.withColumn("delta", F.lit(1))], hot, stored(_filters(hot, shards), "line-filters"), shards, min_docs, min_chars)
 
 
-def _touched(state: LineState, refs: DataFrame, keys: DataFrame) -> LineState:
-    """The state over refs, where only `keys` have changed."""
-    anew = _hot(refs.join(keys, ["k1", "k2"], "left_semi"), state.min_docs)
-    hot = stored(state.hot.join(keys, ["k1", "k2"], "left_anti").unionByName(anew), "line-hot")
+def _touched(state: LineState, log: list[DataFrame], keys: DataFrame) -> LineState:
+    """The state with another log, where only `keys` have changed."""
+    if len(log) > MOST_PIECES:
+        log = [stored(LineState(log, state.hot, state.filters, 1, 1, 1).refs, "line-refs").withColumn("delta", F.lit(1))]
+    out = LineState(log, state.hot, state.filters, state.shards, state.min_docs, state.min_chars)
+    anew = _hot(out.refs_of(keys), state.min_docs)
+    hot = out.hot = stored(state.hot.join(keys, ["k1", "k2"], "left_anti").unionByName(anew), "line-hot")
     mark = lambda df, d: df.select("k1", "k2", F.lit(d).alias("delta"))
     moved = mark(hot, 1).unionByName(mark(state.hot, -1)).groupBy("k1", "k2").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
 
@@ -187,98 +211,99 @@ def _touched(state: LineState, refs: DataFrame, keys: DataFrame) -> LineState:
         ok = f.insert(own.loc[own["delta"] > 0, "k2"].to_numpy())
         return pd.DataFrame({"shard": [shard], "slots": [f.table.tobytes() if ok else b""]}).astype({"shard": "int32"})
 
-    changed = state.filters.groupBy("shard").cogroup(moved.select(_shard(state.shards), "k2", "delta").groupBy("shard")).applyInPandas(change, FILTER)
+    changed = stored(state.filters.groupBy("shard").cogroup(moved.select(_shard(state.shards), "k2", "delta").groupBy("shard")).applyInPandas(change, FILTER), "line-filters")
     # a filter that ran full is built anew from the exact table
     full = changed.filter(F.length("slots") == 0).select("shard")
     again = _filters(hot.withColumn("shard", _shard(state.shards)).join(full, "shard", "left_semi").drop("shard"), state.shards)
-    return LineState(refs, hot, changed.filter(F.length("slots") > 0).unionByName(again), state.shards, state.min_docs, state.min_chars)
+    out.filters = stored(changed.filter(F.length("slots") > 0).unionByName(again), "line-filters")
+    return out
+
+
+def _logged(refs: DataFrame, delta: int) -> DataFrame:
+    return stored(refs.select("k1", "k2", "doc_id"), "line-refs").withColumn("delta", F.lit(delta))
 
 
 def insert(state: LineState, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> LineState:
-    new = references(docs, text, doc_id, state.min_chars)
-    refs = stored(state.refs.unionByName(new).distinct(), "line-refs")
-    return _touched(state, refs, new.select("k1", "k2").distinct())
+    """Writes the references that docs add, not those that are there."""
+    new = stored(references(docs, text, doc_id, state.min_chars), "line-refs")
+    keys = new.select("k1", "k2").distinct()
+    held = state.refs_of(keys).select(*[F.col(c).alias(f"h_{c}") for c in ("k1", "k2", "doc_id")])
+    same = (F.col("k1") == F.col("h_k1")) & (F.col("k2") == F.col("h_k2")) & F.col("doc_id").eqNullSafe(F.col("h_doc_id"))
+    return _touched(state, [*state.log, _logged(new.join(held, same, "left_anti"), 1)], keys)
 
 
 def delete(state: LineState, doc_ids: DataFrame, doc_id: str = "doc_id") -> LineState:
-    gone = doc_ids.select(F.col(doc_id).alias("gone")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone"))
-    keys = state.refs.join(gone, same, "left_semi").select("k1", "k2").distinct()
-    refs = stored(state.refs.join(gone, same, "left_anti"), "line-refs")
-    return _touched(state, refs, keys)
-
-
-def apply(state: LineState, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with the text's kept lines, n_lines (before) and n_dropped."""
-    spark, min_chars, shards = docs.sparkSession, state.min_chars, state.shards
-    docs = docs.drop("n_lines", "n_dropped", "__keys")
-    filters = stored(state.filters, "line-filters")
-    total = filters.agg(F.sum(F.length("slots"))).first()[0] or 0
-    held = None
-    if total <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in filters.collect()})
-    at, names = docs.columns.index(text), docs.columns
-    unpacked: dict = {}
-
-    def maybe(k: np.ndarray) -> np.ndarray:
-        if held is None:
-            return np.ones(len(k), dtype=bool)
-        if not unpacked:
-            unpacked.update({s: CuckooFilter(0, np.frombuffer(x, dtype=np.uint16).reshape(-1, 4)) for s, x in held.value.items()})
-        out, shard = np.zeros(len(k), dtype=bool), np.mod(k[:, 0], shards)
-        for s, f in unpacked.items():
-            own = np.flatnonzero(shard == s)
-            if len(own):
-                out[own] = f.contains(k[own, 1])
-        return out
-
-    def look(batch: pa.RecordBatch) -> dict:
-        lines, counts, hashes = [], [], []
-        for raw in _binary(batch.column(at)):
-            own = keys_of(raw, min_chars)
-            lines.append(len(own))
-            unique = {h for _, h in own if h}
-            counts.append(len(unique))
-            hashes.extend(unique)
-        k = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-        hit, ends = maybe(k), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        found = [np.ascontiguousarray(k[a:b][hit[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return dict(enumerate([*batch.columns, lines, [[{"k1": int(x), "k2": int(y)} for x, y in f] if len(f) else None for f in found]]))
-
-    pair = T.ArrayType(T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("__keys", pair)])
-    seen = stored(map_arrow(docs, look, schema), "line-seen")
-    untouched = seen.filter(F.col("__keys").isNull()).drop("__keys").withColumn("n_dropped", F.lit(0).cast("long"))
-
-    asked = seen.filter(F.col("__keys").isNotNull())
-    held_keys = asked.select(F.col(f"`{doc_id}`").alias("__id"), F.explode("__keys").alias("k")).select("__id", "k.k1", "k.k2")
-    lost = held_keys.join(state.hot, ["k1", "k2"]).filter(~F.col("__id").eqNullSafe(F.col("last")))
-    lost = lost.groupBy("__id").agg(F.collect_set(F.struct("k1", "k2")).alias("__lost"))
-    found = asked.drop("__keys").join(lost, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left").drop("__id")
+    """Writes the references that go with these documents."""
+    gone = doc_ids.select(col(doc_id).alias("gone")).distinct()
+    out = _logged(state.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi"), -1)
+    return _touched(state, [*state.log, out], out.select("k1", "k2").distinct())
+
+
+def _known(state: LineState, refs: DataFrame) -> DataFrame:
+    """(k1, k2, n, last): the hot keys among refs (n references there). Each shard's filter is asked for its keys; what it may know is looked up."""
+
+    def ask(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(own):
+            return own.iloc[:0][["k1", "k2", "n"]]
+        f = CuckooFilter(0, np.frombuffer(held["slots"].iloc[0], dtype=np.uint16).reshape(-1, 4))
+        return own.loc[f.contains(own["k2"].to_numpy()), ["k1", "k2", "n"]]
+
+    short_batches(refs.sparkSession)
+    keys = refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", _shard(state.shards))
+    maybe = keys.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInPandas(ask, "k1 long, k2 long, n long")
+    return maybe.join(state.hot.select("k1", "k2", "last"), ["k1", "k2"])
+
+
+def _lost(state: LineState, refs: DataFrame) -> DataFrame:
+    """(lost_id, lost): each document's keys whose lines it loses.
+
+    Keys that hold at least one in COMMON references are COMMON at most and are broadcast, so that no task gets the rows of a very frequent key.
+    """
+    known = stored(_known(state, refs), "line-known")
+    least = -(-refs.count() // COMMON)
+    very = F.broadcast(known.filter(F.col("n") >= least).drop("n"))
+    rest = known.filter(F.col("n") < least).drop("n")
+    seldom = refs.join(very.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    out = refs.join(very, ["k1", "k2"]).unionByName(seldom.join(rest, ["k1", "k2"]))
+    out = out.filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+    return out.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
+
+
+def apply(state: LineState, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", refs: DataFrame | None = None, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
+    """docs with the text's kept lines, and with two columns more (which replace those of their names): n_lines (before) and n_dropped.
+
+    refs: the references of docs, if they are known. Texts are dealt out by doc_id once, whatever the size, to meet the narrow table of lost keys.
+    """
+    min_chars = state.min_chars
+    docs = docs.drop(lines, dropped)
+    names, at = docs.columns, docs.columns.index(text)
+    if refs is None:
+        refs = stored(references(docs, text, doc_id, min_chars), "line-refs")
+    n_id, n_lost = fresh(docs, "lost_id", "lost")
+    lost = _lost(state, refs).select(F.col("lost_id").alias(n_id), F.col("lost").alias(n_lost))
+    met = docs.join(lost.hint("merge"), col(doc_id).eqNullSafe(col(n_id)), "left").drop(n_id)
 
     def cut(batch: pa.RecordBatch) -> dict:
-        texts, dropped = [], []
-        for value, raw, gone in zip(batch.column(at).to_pylist(), _binary(batch.column(at)), batch.column(len(names) + 1).to_pylist(), strict=True):
-            if not gone:
-                texts.append(value)
-                dropped.append(0)
-                continue
-            own = set(np.asarray([(g["k1"], g["k2"]) for g in gone], dtype="<i8").view("V16").ravel().tolist())
-            lines = keys_of(raw, min_chars)
-            kept = [line for line, h in lines if h is None or h not in own]
-            texts.append(b"\n".join(kept).decode("utf-8", "replace"))
-            dropped.append(len(lines) - len(kept))
-        columns = list(batch.columns[: len(names) + 1])
+        texts, counts, gone_ = batch.column(at).to_pylist(), [], []
+        for i, (raw, gone) in enumerate(zip(_binary(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True)):
+            counts.append(raw.count(b"\n") + 1)
+            gone_.append(0)
+            if gone:
+                own = {(g["k1"], g["k2"]) for g in gone}
+                kept = [line for line, h in keys_of(raw, min_chars) if h is None or struct.unpack("<qq", h) not in own]
+                texts[i] = b"\n".join(kept).decode("utf-8", "replace")
+                gone_[-1] = counts[-1] - len(kept)
+        columns = list(batch.columns[: len(names)])
         columns[at] = pa.array(texts, pa.string())
-        return dict(enumerate([*columns, dropped]))
+        return dict(enumerate([*columns, counts, gone_]))
 
-    out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return untouched.unionByName(map_arrow(found, cut, out))
+    return map_arrow(met, cut, T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())]))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 5, min_chars: int = 40) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 5, min_chars: int = 40, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
     """docs without the lines that they repeat from one another."""
-    return apply(build(docs, text, doc_id, min_docs, min_chars), docs, text, doc_id)
+    state = build(docs, text, doc_id, min_docs, min_chars)
+    return apply(state, docs, text, doc_id, state.refs, lines, dropped)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ embedded media, of which the outermost and, within containers, the parts are lis
 `pack` stores a text losslessly as the samples of an 8-bit WAV file, zeros filling its bytes up to a positive multiple of 64; `unpack` reads the samples of
 stored bytes back.
 
+Limits: RIFF files count their bytes in 32 bits, so a text of 4 GB or more can't be packed and raises struct.error. Every gzip signature is inflated to its
+end or its first error, so a value made to hold many overlapping streams costs as much as their sum; other validators read headers only.
+
 Cases: null bytes have type null and nothing embedded; empty bytes and unknown ones are `application/octet-stream`; a null text is
 packed as the empty one; repeated rows give equal results; an empty table gives no rows; other columns stay, but for
 those that are added.
@@ -141,15 +144,32 @@ def _gzip(b: bytes, at: int) -> int:
     return min(p, len(b)) - at - len(d.unused_data) if d.eof else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    p = at
-    while (p := b.find(b"PK\x05\x06", p)) >= 0:
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Where an archive would begin, by its end record, and where that record ends; the first of several."""
+    out: dict[int, int] = {}
+    p = -1
+    while (p := b.find(b"PK\x05\x06", p + 1)) >= 0:
         if p + 22 <= len(b):
             n, size, start, note = struct.unpack_from("<HIIH", b, p + 10)
-            if start + size == p - at and p + 22 + note <= len(b) and n and b[at + start : at + start + 4] == b"PK\x01\x02":
-                return p + 22 + note - at
-        p += 4
-    return 0
+            origin = p - size - start
+            if n and origin >= 0 and p + 22 + note <= len(b) and b[origin + start : origin + start + 4] == b"PK\x01\x02":
+                out.setdefault(origin, p + 22 + note)
+    return out
+
+
+class _Zip:
+    """The validator of archives; a value's end records are looked for once, not at each of its local headers."""
+
+    def __init__(self):
+        self.of, self.ends = b"", {}
+
+    def __call__(self, b: bytes, at: int) -> int:
+        if self.of is not b:
+            self.of, self.ends = b, _zip_ends(b)
+        return self.ends[at] - at if self.ends.get(at, 0) > at else 0
+
+
+_zip = _Zip()
 
 
 def _pdf(b: bytes, at: int) -> int:

@@ -1,29 +1,33 @@
 r"""Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Documents are counted into cells (source, language, topic) with their tokens; all later sums are over cells. Raking
-multiplies each cell's weight so that the weighted tokens meet the target shares of sources, then of languages, then of topics, `sweeps` times
-over; the cells are written to the shared folder every few sweeps. Without given targets, the target share of a source
-(language, topic) is its share of tokens to the power `temper`, normalised, which lifts small ones. A document's
-probability is its cell's weight times a constant, and 1 at most; the constant makes the sample's expected tokens the share `keep` of all. Cells
-that are cut at 1 give less than their targets ask for; only with `keep=None`, where the constant is 1 / the greatest weight, does the sample meet the
-targets as the weights do. It is drawn if a hash of its id, uniform in [0, 1), is below that, so a draw can be repeated.
+Each document's topic and tokens are found in one pass and written to the shared folder; documents are counted into cells (source,
+language, topic) with their tokens, and all later sums are over cells. A sweep of raking multiplies each cell's weight so that the weighted tokens meet the
+target shares of sources, then of languages, then of topics. Sweeps go on until none changes a weight by more than `tolerance` (relative), and `sweeps` at
+most; `rake` gives the last change as the column residual. A margin's sum is a small aggregation that is joined back, so no task holds all cells.
+
+Without given targets, the target share of a value is its share of tokens to the power `temper`, normalised, which lifts small ones, but at most
+`lift` times its own share; what that takes away goes to the other values in proportion. A document's
+probability is its cell's weight over the greatest weight, so no probability is cut and the sample's expected shares are the targets. With `keep` the constant
+is that which makes the expected tokens this share of all; cells that it would draw more than once are drawn once, and fall short
+of their targets (`shares` gives what a sample attains). A document is drawn if a hash of its id, uniform in [0, 1), is below its probability, so a draw can
+be repeated.
 
 Cases: null source, language or topic are values of their own (shown as null); a null text has no tokens and weighs nothing in the sums, but
 has its cell's probability (0 in a cell without any tokens and with no other); repeated rows of an id are drawn together; margins whose target isn't met by any token
-are left out and the others share their weight; an empty table gives no rows; other columns stay.
+are left out and the others share their weight; an empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import col, fresh, stored
 
-SWEEPS, TEMPER, KEEP = 8, 0.7, 0.8
+SWEEPS, TOLERANCE, TEMPER, LIFT = 18, 1e-12, 0.7, 2.0
 MARGINS = ("source", "lang", "topic")
 
-# Signs of the topics of this corpus, the first that fits counts.
+# Signs of topics, the first that fits counts.
 TOPICS = (
     ("licence", r"(?i)licen[cs]e|copyright|all rights reserved"),
     ("contact", r"[A-Za-z0-9]@[A-Za-z0-9]"),
@@ -32,10 +36,10 @@ TOPICS = (
 )
 
 
-def topic_of(text: Column) -> Column:
-    """The topic of a text by its signs; `prose` without any."""
-    out = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
+def topic_of(text: Column, topics: tuple[tuple[str, str], ...] = TOPICS, other: str = "prose") -> Column:
+    """The topic of a text by its signs."""
+    out = F.lit(other)
+    for name, pattern in reversed(topics):
         out = F.when(F.coalesce(text, F.lit("")).rlike(pattern), name).otherwise(out)
     return out
 
@@ -49,78 +53,116 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, sweeps: int = SWEEPS, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, each: int = 4) -> DataFrame:
-    """cells (margins, tokens) with weight: weighted tokens have the target share in each margin (exactly in the last one).
+def _joined(cells: DataFrame, side: DataFrame, margin: str) -> DataFrame:
+    """cells with the columns of side, whose key is `v`."""
+    return cells.join(side, F.col(margin).eqNullSafe(F.col("v")), "left").drop("v")
+
+
+def tempered(cells: DataFrame, margin: str, temper: float = TEMPER, lift: float = LIFT) -> DataFrame:
+    """(v, share): the target shares of a margin."""
+    own = cells.groupBy(F.col(margin).alias("v")).agg(F.sum("tokens").cast("double").alias("tokens")).filter("tokens > 0")
+    sums = own.agg(F.sum("tokens").alias("all"), F.sum(F.pow("tokens", F.lit(temper))).alias("powers")).first()
+    if not sums["all"]:
+        return own.select("v", F.lit(0.0).alias("share"))
+    own = own.select("v", (F.col("tokens") / F.lit(sums["all"])).alias("now"), (F.pow("tokens", F.lit(temper)) / F.lit(sums["powers"])).alias("share"))
+    high = F.col("share") > lift * F.col("now")
+    cut = own.agg(F.sum(F.when(high, lift * F.col("now")).otherwise(0.0)).alias("held"), F.sum(F.when(high, 0.0).otherwise(F.col("share"))).alias("free")).first()
+    return own.select("v", F.when(high, lift * F.col("now")).otherwise(F.col("share") * F.lit((1 - cut["held"]) / cut["free"] if cut["free"] else 1.0)).alias("share"))
+
+
+def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, sweeps: int = SWEEPS, temper: float = TEMPER, lift: float = LIFT, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (margins, tokens) with weight, and with residual: the largest relative change of a weight in the last sweep.
 
     targets: for a margin a table (value, share).
     """
-    total = F.sum("tokens").over(Window.partitionBy())
-    out = cells.groupBy(*margins).agg(F.sum("tokens").alias("tokens"))
+    out = stored(cells.groupBy(*margins).agg(F.sum("tokens").alias("tokens")), "cells")
+    total = float(out.agg(F.sum("tokens")).first()[0] or 0)
     for m in margins:
-        own = F.sum("tokens").over(Window.partitionBy(m))
         if targets and m in targets:
-            given = targets[m].select(F.col("value").alias("__v"), F.col("share").alias(f"__{m}"))
-            out = out.join(given, F.col(m).eqNullSafe(F.col("__v")), "left").drop("__v").withColumn(f"__{m}", F.when(own > 0, F.coalesce(f"__{m}", F.lit(0.0))).otherwise(0.0))
+            seen = out.groupBy(F.col(m).alias("w")).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
+            given = targets[m].select(F.col("value").alias("v"), F.col("share").cast("double").alias("share"))
+            given = given.join(seen.select("w"), F.col("v").eqNullSafe(F.col("w")), "left_semi")
+            whole = float(given.agg(F.sum("share")).first()[0] or 0)
+            side = given.select("v", (F.col("share") / F.lit(whole or 1.0)).alias(f"t_{m}"))
         else:
-            out = out.withColumn(f"__{m}", F.when(own > 0, F.pow(own.cast("double"), F.lit(temper))).otherwise(0.0))
-    out = out.withColumn("__total", total.cast("double")).withColumn("weight", F.lit(1.0))
-    for m in margins:  # a value's share counts once, not once a cell
-        once = F.col(f"__{m}") / F.count(F.lit(1)).over(Window.partitionBy(m))
-        out = out.withColumn("__once", once).withColumn("__sum", F.sum("__once").over(Window.partitionBy()))
-        out = out.withColumn(f"__{m}", F.when(F.col("__sum") > 0, F.col(f"__{m}") / F.col("__sum")).otherwise(0.0)).drop("__once", "__sum")
-    out = stored(out, "raking")
-    for sweep in range(sweeps):
+            side = tempered(out, m, temper, lift).withColumnRenamed("share", f"t_{m}")
+        out = _joined(out, side, m).fillna(0.0, [f"t_{m}"])
+    out = stored(out.withColumn("weight", F.lit(1.0)), "raking")
+    residual = None
+    for _ in range(sweeps):
+        now = out.withColumn("before", F.col("weight"))
         for m in margins:
-            now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(m))
-            out = out.withColumn("__now", now).withColumn("weight", F.when(F.col("__now") > 0, F.col("weight") * F.col(f"__{m}") * F.col("__total") / F.col("__now")).otherwise(0.0)).drop("__now")
-        if sweep % each == each - 1:
-            out = stored(out, "raking")
-    return out.select(*margins, "tokens", "weight")
-
-
-def calibrated(cells: DataFrame, keep: float | None = KEEP) -> DataFrame:
-    """cells with probability min(1, c x weight), where c makes the expected tokens `keep` of all, or is 1 / the greatest weight without `keep`.
-
-    By falling weight, the first cells are taken whole; c follows from what the others must give. The first cell that
-    this c doesn't lift over 1 settles it.
-    """
-    if keep is None:
-        most = F.max(F.when(F.col("tokens") > 0, F.col("weight"))).over(Window.partitionBy())
-        return cells.withColumn("__most", most).select(*cells.columns, F.when(F.col("__most") > 0, F.least(F.lit(1.0), F.round(F.col("weight") / F.col("__most"), 9))).otherwise(0.0).alias("probability"))
-    order = Window.partitionBy().orderBy(F.desc("weight"), *[F.col(m).asc_nulls_first() for m in MARGINS])
-    every = Window.partitionBy()
+            sums = now.groupBy(F.col(m).alias("v")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("sum"))
+            weight = F.when(F.col("sum") > 0, F.col("weight") * F.col(f"t_{m}") * F.lit(total) / F.col("sum")).otherwise(0.0)
+            now = _joined(now, sums, m).withColumn("weight", weight).drop("sum")
+        now = stored(now, "raking")
+        residual = now.filter("before > 0 and tokens > 0").agg(F.max(F.abs(F.col("weight") / F.col("before") - 1))).first()[0]
+        out = now.drop("before")
+        if not residual or residual <= tolerance:
+            break
+    return out.select(*margins, "tokens", "weight", F.lit(float(residual or 0.0)).alias("residual"))
+
+
+def constant(cells: DataFrame, keep: float | None = None) -> float:
+    """What weights are multiplied by. Without keep 1 / the greatest weight; else each round counts the cells that would be drawn more than once as drawn once, until none is new."""
     mass = F.col("weight") * F.col("tokens")
-    out = cells.withColumn("__whole", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = out.withColumn("__rest", F.sum(mass).over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("__all", F.sum("tokens").over(every))
-    c = F.when(F.col("__rest") > 0, (F.col("__all") * F.lit(keep) - F.col("__whole")) / F.col("__rest"))
-    out = out.withColumn("__c", c)
-    settled = F.when((F.col("__c") > 0) & (F.col("__c") * F.col("weight") <= 1), F.col("__c"))
-    out = out.withColumn("__c", F.coalesce(F.max(settled).over(every), F.lit(0.0)))
-    return out.select(*cells.columns, F.round(F.least(F.lit(1.0), F.col("__c") * F.col("weight")), 9).alias("probability"))
-
-
-def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", topic: Column | None = None, sweeps: int = SWEEPS, temper: float = TEMPER, keep: float | None = KEEP, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs with __topic, __tokens, __weight, __probability and __sampled."""
-    # counted once; the text doesn't travel with the counts
-    docs = docs.withColumn("__topic", topic_of(F.col(text)) if topic is None else topic).withColumn("__tokens", token_count(F.col(text)))
-    cells = docs.groupBy("source", "lang", F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    fitted = stored(calibrated(rake(stored(cells, "cells"), sweeps=sweeps, temper=temper, targets=targets), keep), "mixture").select(*[F.col(m).alias(f"__m_{m}") for m in MARGINS], F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
-    same = F.col("source").eqNullSafe(F.col("__m_source")) & F.col("lang").eqNullSafe(F.col("__m_lang")) & F.col("__topic").eqNullSafe(F.col("__m_topic"))
-    out = docs.join(fitted, same, "left").drop(*[f"__m_{m}" for m in MARGINS])
-    return out.withColumn("__sampled", uniform(F.col(f"`{doc_id}`")) < F.coalesce("__probability", F.lit(0.0)))
+    if keep is None:
+        most = cells.filter("tokens > 0").agg(F.max("weight")).first()[0]
+        return 1 / most if most else 0.0
+    every = cells.agg(F.sum("tokens")).first()[0] or 0
+    c = 0.0
+    while True:
+        whole = F.col("weight") * F.lit(c) >= 1
+        got = cells.agg(F.sum(F.when(whole, F.col("tokens"))).alias("whole"), F.sum(F.when(~whole, mass)).alias("rest")).first()
+        new = (every * keep - (got["whole"] or 0)) / got["rest"] if got["rest"] else c
+        if new <= c * (1 + 1e-12):
+            return c
+        c = new
+
+
+def calibrated(cells: DataFrame, keep: float | None = None) -> DataFrame:
+    """cells with probability min(1, c x weight)."""
+    return cells.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(constant(cells, keep))), 9))
+
+
+def shares(cells: DataFrame, margin: str) -> DataFrame:
+    """(value, target, attained): of raked and calibrated cells, the weights' share of a margin's value and that of the sample's expected tokens."""
+    weighted, drawn = F.col("weight") * F.col("tokens"), F.col("probability") * F.col("tokens")
+    sums = cells.agg(F.sum(weighted).alias("w"), F.sum(drawn).alias("d")).first()
+    return cells.groupBy(F.col(margin).alias("value")).agg((F.sum(weighted) / F.lit(sums["w"] or 1.0)).alias("target"), (F.sum(drawn) / F.lit(sums["d"] or 1.0)).alias("attained"))
+
+
+ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
+
+
+def weigh(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", lang: str = "lang", topic: Column | None = None, keep: float | None = None, names: tuple[str, ...] = ADDED, needed: list[str] | None = None, **options) -> DataFrame:
+    """docs (or only their columns `needed`) with topic, tokens, weight, probability and sampled, under `names`. options are those of `rake`."""
+    n_topic, n_tokens, n_weight, n_probability, n_sampled = fresh(docs, *names)
+    counted = docs.withColumn(n_topic, topic_of(col(text)) if topic is None else topic).withColumn(n_tokens, token_count(col(text)))
+    if needed is not None:
+        counted = counted.select(*[col(c) for c in (*needed, n_topic, n_tokens)])
+    counted = stored(counted, "mixing-counted")  # each text is read once; cells and the draw use the numbers
+    cells = counted.groupBy(col(source).alias("source"), col(lang).alias("lang"), col(n_topic).alias("topic")).agg(F.sum(col(n_tokens)).alias("tokens"))
+    fitted = stored(calibrated(rake(cells, **options), keep), "mixture")
+    side = dict(zip(MARGINS, fresh(counted, *(f"cell_{m}" for m in MARGINS)), strict=True))
+    fitted = fitted.select(*[F.col(m).alias(n) for m, n in side.items()], F.col("weight").alias(n_weight), F.col("probability").alias(n_probability))
+    same = col(source).eqNullSafe(col(side["source"])) & col(lang).eqNullSafe(col(side["lang"])) & col(n_topic).eqNullSafe(col(side["topic"]))
+    out = counted.join(fitted, same, "left").drop(*side.values())
+    return out.withColumn(n_sampled, uniform(col(doc_id)) < F.coalesce(col(n_probability), F.lit(0.0)))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The drawn documents."""
-    return weigh(docs, **options).filter("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = weigh(docs, **options)
+    return out.filter(col(out.columns[-1])).select(*[col(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    out = weigh(docs.select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"))
+    out = weigh(docs.select("doc_id", "text", "source", "lang"), needed=["doc_id", "source", "lang"])
+    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"))
 
 
-def sql(sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, source: str = "documents") -> str:
+def sql(sweeps: int = SWEEPS, temper: float = TEMPER, lift: float = LIFT, source: str = "documents") -> str:
     """The same in DuckDB's SQL: each step of the raking is a common table expression."""
     kinds = "ELSE ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' " for n, p in TOPICS) + "ELSE 'prose'" + " END" * len(TOPICS)
     parts = [
@@ -128,20 +170,18 @@ def sql(sweeps: int = SWEEPS, temper: float = TEMPER, keep: float = KEEP, source
         "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
     ]
     for m in MARGINS:
-        parts.append(f"s_{m} AS (SELECT {m} AS v, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {temper}) ELSE 0 END AS s FROM c0 GROUP BY {m})")
-    joins = " ".join(f"JOIN (SELECT v, s / (SELECT sum(s) FROM s_{m}) AS t_{m} FROM s_{m}) x_{m} ON c0.{m} IS NOT DISTINCT FROM x_{m}.v" for m in MARGINS)
-    parts.append(f"k0 AS (SELECT source, lang, topic, tokens, sum(tokens) OVER () AS total, CAST(1 AS DOUBLE) AS weight, {', '.join('t_' + m for m in MARGINS)} FROM c0 {joins})")
+        parts.append(f"s_{m} AS (SELECT v, n / sum(n) OVER () AS now, pow(n, {temper}) / sum(pow(n, {temper})) OVER () AS s FROM (SELECT {m} AS v, sum(tokens) AS n FROM c0 GROUP BY {m}) WHERE n > 0)")
+        parts.append(
+            f"h_{m} AS (SELECT v, CASE WHEN s > {lift} * now THEN {lift} * now ELSE s * (1 - (SELECT coalesce(sum({lift} * now), 0) FROM s_{m} WHERE s > {lift} * now))"
+            f" / (SELECT sum(s) FROM s_{m} WHERE s <= {lift} * now) END AS t_{m} FROM s_{m})"
+        )
+    joins = " ".join(f"LEFT JOIN h_{m} ON c0.{m} IS NOT DISTINCT FROM h_{m}.v" for m in MARGINS)
+    parts.append(f"k0 AS (SELECT source, lang, topic, tokens, sum(tokens) OVER () AS total, CAST(1 AS DOUBLE) AS weight, {', '.join(f'coalesce(t_{m}, 0) AS t_{m}' for m in MARGINS)} FROM c0 {joins})")
     for i in range(sweeps * len(MARGINS)):
         m = MARGINS[i % len(MARGINS)]
         parts.append(f"k{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight * tokens) OVER (PARTITION BY {m}) > 0 THEN weight * t_{m} * total / sum(weight * tokens) OVER (PARTITION BY {m}) ELSE 0 END AS weight) FROM k{i})")
     last = f"k{sweeps * len(MARGINS)}"
-    order = "ORDER BY weight DESC, " + ", ".join(f"{m} ASC NULLS FIRST" for m in MARGINS)
-    parts.append(
-        f"w AS (SELECT *, coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,"
-        f" sum(weight * tokens) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(tokens) OVER () AS every FROM {last})"
-    )
-    parts.append(f"y AS (SELECT *, CASE WHEN rest > 0 THEN (every * {keep} - whole) / rest END AS c FROM w)")
-    parts.append("p AS (SELECT source, lang, topic, weight, round(least(1, weight * coalesce(max(CASE WHEN c > 0 AND c * weight <= 1 THEN c END) OVER (), 0)), 9) AS probability FROM y)")
+    parts.append(f"p AS (SELECT source, lang, topic, weight, round(least(1, coalesce(weight / (SELECT max(weight) FROM {last} WHERE tokens > 0), 0)), 9) AS probability FROM {last})")
     on = " AND ".join(f"d.{m} IS NOT DISTINCT FROM p.{m}" for m in MARGINS)
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(p.weight, 6) AS weight, round(p.probability, 6) AS probability,"

@@ -1,11 +1,12 @@
 """Near copies by exact similarity: texts link where the Jaccard similarity of their sets of word shingles is at least a threshold.
 
-Words and shingles are those of `simhash`. Equal sets collapse first. Two sets that similar share a shingle among the first
+Words are those of `simhash`. Equal sets collapse first. Two sets that similar share a shingle among the first
 `size - ceil(threshold x size) + 1` of each, in any order that holds for all sets; the order here puts shingles that a sample of the sets
 repeats last, so those of common passages are seldom met (the sample affects speed only, no pair is lost). Sets that meet at such a
-shingle are verified on their whole sets in two steps, so that a large group costs no square: neighbours by size first, then
-only pairs that the first step's links left in different components. Of both, sizes, places and a sketch leave out pairs that can't
-reach the threshold. A set that has many pairs is dealt over salts.
+shingle are verified on their whole sets in two steps, so that a large group costs no square: first each with its neighbours by size and with the leaders of
+a tree of blocks (at most BLOCK sets each), then only pairs that the first step's links left in different components. In both, sizes, places and sketches
+leave out pairs that can't reach the threshold before any pair leaves its task. Sets of the pairs that remain are made again from their texts, which are dealt out by their
+ids once in either step, whatever the size.
 """
 
 from __future__ import annotations
@@ -19,26 +20,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, stored
+from .common import map_arrow, stored, whole_buckets
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sets of the sample, and the most shingles that are put last.
 SAMPLE, LAST = 20_000, 100_000
-#: Pairs of a set for each salt that it gets.
-PER_SALT = 2_000
-BLOCK = 1024
-#: Bits of the smallest sketch; a set of more shingles has the next power of two.
-BITS = 256
+#: Sets that a leader has, and rows of a bucket that are compared at a time.
+BLOCK, STEP = 64, 1024
+#: Words kept with their hashes.
+MEMO = 300_000
+#: Words of 64 bits of a sketch.
+SKETCH = 4
+BITS = tuple(f"s{i}" for i in range(SKETCH))
+
+
+class _Words(dict):
+    """A word's hash; beyond MEMO words it starts anew."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
+_WORDS = _Words()
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes, sorted; none without words."""
+    """The distinct hashes, sorted; none without words. A shingle's hash is mixed from those of its words in their order."""
     w = text.lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    n = max(1, len(w) - words + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(n)), dtype=np.uint64, count=n))
+    own = np.fromiter(map(_WORDS.__getitem__, w), dtype=np.uint64, count=len(w))
+    long = min(words, len(w))
+    out = np.full(len(w) - long + 1, long, dtype=np.uint64)
+    for k in range(long):
+        out = (out ^ own[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(32)))
 
 
 def _id(own: np.ndarray) -> int:
@@ -72,19 +94,13 @@ def _repeated(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
-    """Parities of the counts of the hashes by their value modulo a power of two: two sets differ in at least as many hashes as their sketches in bits."""
-    bits = max(BITS, 1 << max(0, len(own) - 1).bit_length())
-    odd = (np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    """Parities of the counts of the hashes by their value modulo the bits: two sets differ in at least as many hashes as their sketches in bits."""
+    odd = (np.bincount((own % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def _folded(of: str, size: str) -> str:
-    """SQL: a sketch as it is with fewer bits."""
-    return f"if(size({of}) = {size}, {of}, transform(sequence(1, {size}), i -> aggregate(sequence(i, size({of}), {size}), 0L, (s, j) -> s ^ element_at({of}, j))))"
-
-
 def _firsts(rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_id, set_id, size, sketch, first): each row's set by its id, and its first shingles."""
+    """(doc_id, set_id, size, s0 to s3, first): each row's set by its id, its sketch, and its first shingles."""
     last, times = _repeated(rows, words)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -101,11 +117,11 @@ def _firsts(rows: DataFrame, words: int, threshold: float) -> DataFrame:
             else:
                 own = np.sort(own)
             first.append(own[: len(own) - _ceil(threshold * len(own)) + 1])
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (bits, first)]
-        return {"doc_id": batch.column(0), "set_id": pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "sketch": lists[0], "first": lists[1]}
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+        columns = np.array(bits, dtype=np.int64).reshape(-1, SKETCH).T
+        return dict(enumerate([batch.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in columns), lists]))
 
-    longs = T.ArrayType(T.LongType())
-    added = [T.StructField("set_id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sketch", longs), T.StructField("first", longs)]
+    added = [T.StructField("set_id", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in BITS), T.StructField("first", T.ArrayType(T.LongType()))]
     return map_arrow(rows.select("doc_id", "text"), run, T.StructType([rows.schema["doc_id"], *added]))
 
 
@@ -115,108 +131,93 @@ def _ceil(x: float) -> int:
 
 def _by_bucket(rows: DataFrame, fn: Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]], schema: str) -> DataFrame:
     """What fn makes of the columns of all whole buckets of t, in order of size; a bucket of one row is left out."""
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def whole(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        new = np.concatenate([[True], c[0][1:] != c[0][:-1]])
-        alone = new & np.concatenate([new[1:], [True]])
-        for part in fn([x[~alone] for x in c]):
-            if len(part[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []  # rows of a bucket that may go on in the next batch, joined once it ends
-        for batch in batches:
-            c = [x.to_numpy() for x in batch.columns]
-            if not len(c[0]):
-                continue
-            if parts and c[0][-1] == parts[0][0][0]:
-                parts.append(c)
-                continue
-            c = [np.concatenate(x) for x in zip(*parts, c, strict=True)]
-            cut = int(np.searchsorted(c[0], c[0][-1]))
-            if cut:
-                yield from whole([x[:cut] for x in c])
-            parts = [[x[cut:] for x in c]]
-        if parts:
-            yield from whole([np.concatenate(x) for x in zip(*parts, strict=True)])
+    return whole_buckets(rows.repartition("t").sortWithinPartitions("t", "size", "set_id"), fn, schema)
+
+
+class Bucket:
+    """Rows of whole buckets, in order of size within each: which pairs of them sizes, places and sketches allow."""
 
-    return rows.repartition("t").sortWithinPartitions("t", "size", "set_id").mapInArrow(run, schema)
+    def __init__(self, columns: list[np.ndarray], threshold: float):
+        self.t, self.ids, self.size, self.place, *bits = columns[: 4 + SKETCH]
+        self.bits = np.stack(bits, axis=1).view(np.uint64)
+        self.threshold = threshold
 
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = self.size[i] + self.size[j]
+        least = self.threshold * total - 1e-6  # (1 + threshold) x what they must share
+        most = np.minimum(self.place[i], self.place[j]) + np.minimum(self.size[i] - self.place[i], self.size[j] - self.place[j])
+        apart = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=-1)
+        return (most * (1 + self.threshold) >= least) & ((total - apart) * (1 + self.threshold) >= 2 * least)
 
-def _possible(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sets that share the shingles at these places can be as similar as the threshold."""
-    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
-    return most * (1 + threshold) >= threshold * (size_a + size_b) - 1e-6
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        u, v = self.ids[i], self.ids[j]
+        return [np.minimum(u, v), np.maximum(u, v)]
 
+    def cuts(self) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], self.t[1:] != self.t[:-1], [True]])) if len(self.t) else np.zeros(1, np.int64)
 
-def _neighbours(threshold: float) -> Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]]:
-    """Pairs of sets next to each other in order of size."""
+
+def _nearest(threshold: float) -> Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]]:
+    """Pairs of neighbours, and of sets with the leaders of their blocks, blocks of leaders included."""
 
     def run(c: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        t, ids, size, place = c
-        ok = (t[1:] == t[:-1]) & _possible(size[:-1], place[:-1], size[1:], place[1:], threshold)
-        u, v = ids[:-1][ok], ids[1:][ok]
-        yield [np.minimum(u, v), np.maximum(u, v)]
+        b = Bucket(c, threshold)
+        begin = np.repeat(b.cuts()[:-1], np.diff(b.cuts()))  # each row's bucket
+        at = np.arange(len(b.t))
+        i = [at[1:][b.t[1:] == b.t[:-1]] - 1]
+        j = [i[0] + 1]
+        step, longest = 1, int(np.diff(b.cuts()).max(initial=0))
+        while step < longest:
+            member = at[(at - begin) % step == 0]
+            leader = member - (member - begin[member]) % (step * BLOCK)
+            own = leader < member
+            i.append(leader[own])
+            j.append(member[own])
+            step *= BLOCK
+        i, j = np.concatenate(i), np.concatenate(j)
+        ok = b.possible(i, j)
+        yield b.pairs(i[ok], j[ok])
 
     return run
 
 
 def _across(threshold: float) -> Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]]:
-    """Pairs of different roots whose sizes and places allow the threshold."""
+    """Pairs of different roots."""
 
     def run(c: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        t, ids, size, place, root = c
-        cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else np.zeros(1, int)
-        us, vs, held = [], [], 0
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if (root[a:b] == root[a]).all():
+        b, root = Bucket(c, threshold), c[-1]
+        cuts, found, held = b.cuts(), [], 0
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if (root[lo:hi] == root[lo]).all():
                 continue
-            for x in range(a, b, BLOCK):
-                i = np.arange(x, min(b, x + BLOCK))[:, None]
-                for y in range(x, b, BLOCK):
-                    j = np.arange(y, min(b, y + BLOCK))[None]
-                    if size[y] * threshold > size[i[-1, 0]] + 1e-6:  # sizes only grow from here
+            for x in range(lo, hi, STEP):
+                i = np.arange(x, min(hi, x + STEP))
+                for y in range(x, hi, STEP):
+                    j = np.arange(y, min(hi, y + STEP))
+                    if b.size[y] * threshold > b.size[i[-1]] + 1e-6:  # sizes only grow from here
                         break
-                    ok = (i < j) & (root[i] != root[j]) & _possible(size[i], place[i], size[j], place[j], threshold)
-                    p, q = np.nonzero(ok)
-                    u, v = ids[x + p], ids[y + q]
-                    us.append(np.minimum(u, v))
-                    vs.append(np.maximum(u, v))
-                    held += len(u)
+                    p, q = np.nonzero((i[:, None] < j[None]) & (root[i][:, None] != root[j][None]) & (b.size[i][:, None] >= threshold * b.size[j][None] - 1e-6))
+                    ok = b.possible(x + p, y + q)
+                    found.append(b.pairs(x + p[ok], y + q[ok]))
+                    held += int(ok.sum())
                     if held > 1 << 18:
-                        yield [np.concatenate(us), np.concatenate(vs)]
-                        us, vs, held = [], [], 0
+                        yield [np.concatenate(z) for z in zip(*found, strict=True)]
+                        found, held = [], 0
         if held:
-            yield [np.concatenate(us), np.concatenate(vs)]
+            yield [np.concatenate(z) for z in zip(*found, strict=True)]
 
     return run
 
 
-def _with(pairs: DataFrame, sets: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """pairs with `value` of their key's set as `name`."""
-    salts = pairs.groupBy(F.col(key).alias("__k")).agg(F.ceil(F.count(F.lit(1)) / PER_SALT).alias("__n"))
-    dealt = pairs.join(salts, F.col(key) == F.col("__k")).withColumn("__s", F.pmod(F.xxhash64(other), F.col("__n"))).drop("__k", "__n")
-    own = sets.join(salts, F.col("set_id") == F.col("__k")).select("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__i"), F.col("value").alias(name))
-    return dealt.join(own, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__i"))).drop("__k", "__i", "__s")
-
-
 def _verified(pairs: DataFrame, rows: DataFrame, once: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs that are as similar as the threshold. Sketches bound the difference from below; the sets of the pairs that they leave are made again."""
-    sketches = once.select("set_id", F.struct("size", "sketch").alias("value"))
-    both = _with(_with(stored(pairs, "shingles-pairs"), sketches, "u", "v", "a"), sketches, "v", "u", "b")
-    size = "least(size(a.sketch), size(b.sketch))"
-    least = F.expr(f"aggregate(zip_with({_folded('a.sketch', size)}, {_folded('b.sketch', size)}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
-    left = stored(both.filter(least * (1 + threshold) <= (1 - threshold) * (F.col("a.size") + F.col("b.size")) + 1e-6).select("u", "v"), "shingles-left")
-    ends = left.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
-    # written first, so that the join knows how few they are before it deals out texts
-    ends = stored(ends, "shingles-ends")
-    named = stored(once.join(ends, "set_id").select(F.col("first_doc").alias("__doc")).distinct(), "shingles-named")
-    texts = rows.join(named, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
-    made = set_ids(texts, words=words, sets="value").select("set_id", "value").join(ends, "set_id", "left_semi").dropDuplicates(["set_id"])
-    made = stored(made, "shingles-sets")
-    both = _with(_with(left, made, "u", "v", "a"), made, "v", "u", "b").withColumn("__x", F.size(F.array_intersect("a", "b")))
-    return both.filter(F.col("__x") >= F.lit(threshold) * (F.size("a") + F.size("b") - F.col("__x")) - 1e-9).select("u", "v")
+    """The pairs that are as similar as the threshold, by their whole sets, which are made again from a text of each."""
+    members = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("set_id"))
+    named = once.join(members.select("set_id").distinct(), "set_id", "left_semi").select(F.col("first_doc").alias("__doc")).distinct()
+    texts = rows.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    sets = set_ids(texts, words=words, sets="own").select("set_id", "own").dropDuplicates(["set_id"])
+    both = members.join(sets, "set_id").groupBy("u", "v").agg(F.collect_list("own").alias("own"))
+    both = both.select("u", "v", F.size(F.array_intersect(F.col("own")[0], F.col("own")[1])).alias("x"), (F.size(F.col("own")[0]) + F.size(F.col("own")[1])).alias("n"))
+    return both.filter(F.col("x") >= F.lit(threshold) * (F.col("n") - F.col("x")) - 1e-9).select("u", "v")
 
 
 def linked(rows: DataFrame, words: int = WORDS, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -224,10 +225,13 @@ def linked(rows: DataFrame, words: int = WORDS, threshold: float = SIMILARITY) -
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a similarity over 0")
     own = stored(_firsts(rows, words, threshold), "shingles")
-    once = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "shingles-once")
+    once = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("size", *BITS)]), "shingles-once")
     first = own.select("set_id", "size", "first").dropDuplicates(["set_id"]).select("set_id", "size", F.posexplode("first").alias("place", "t")).select("t", "set_id", "size", "place")
-    met = stored(_by_bucket(first, lambda c: iter([c]), "t long, set_id long, size int, place int"), "shingles-met")
-    near = stored(_verified(_by_bucket(met, _neighbours(threshold), "u long, v long").distinct(), rows, once, words, threshold), "shingles-links")
-    rooted = met.join(components(near), F.col("set_id") == F.col("node"), "left").select("t", "set_id", "size", "place", F.coalesce("root", "set_id").alias("root"))
-    rest = _verified(_by_bucket(rooted, _across(threshold), "u long, v long").distinct(), rows, once, words, threshold)
-    return own.select("doc_id", "set_id"), stored(near.unionByName(rest), "shingles-links")
+    met = _by_bucket(first, lambda c: iter([c]), "t long, set_id long, size int, place int")
+    met = stored(met.join(once.select("set_id", *BITS), "set_id").select("t", "set_id", "size", "place", *BITS), "shingles-met")
+    pairs = stored(_by_bucket(met, _nearest(threshold), "u long, v long").distinct(), "shingles-pairs")
+    roots = stored(components(_verified(pairs, rows, once, words, threshold)), "shingles-roots")
+    rooted = met.join(roots, F.col("set_id") == F.col("node"), "left").select("t", "set_id", "size", "place", *BITS, F.coalesce("root", "set_id").alias("root"))
+    pairs = stored(_by_bucket(rooted, _across(threshold), "u long, v long").distinct(), "shingles-pairs")
+    rest = _verified(pairs, rows, once, words, threshold)
+    return own.select("doc_id", "set_id"), roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest)

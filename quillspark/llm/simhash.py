@@ -1,4 +1,4 @@
-r"""SimHash near-dedup by meet-in-the-middle ball hashing.
+r"""SimHash near-dedup by meet-in-the-middle ball hashing, with a block of the fingerprint left out of the ball.
 
 A text in which A-Z are in lower case gives its words `[^\x20\x09-\x0D]+`, these give shingles of `words` words (a
 shorter sequence is one shingle; no words give fingerprint zero), and each shingle its XXH64 of seed 42. A bit of the
@@ -8,7 +8,8 @@ differing bits.
 Two fingerprints at distance 3 meet between: of the blocks of 16 bits, some block holds one of the differing bits, and
 outside it at most two differ. So each distinct fingerprint emits, for each block left out, itself and its variants
 within radius 1 outside the block (4 x 49 rows of 48-bit keys instead of the 2,081 of a ball of radius 2, with the
-same recall of 1). A shuffle sorts them by variant; of each bucket the distances are verified, and of the links of a
+same recall of 1; it is a pigeonhole filter over balls of half the radius, rounded down). Fingerprints are dealt out evenly before they
+emit. A shuffle sorts the variants; of each bucket the distances are verified, and of the links of a
 bucket a spanning forest leaves the task, never all pairs. Copies of a fingerprint collapse before that. Components are found
 over the links of distinct fingerprints.
 
@@ -16,7 +17,8 @@ That is the contract of op2. Without a radius, `groups` and `dedup` link by the
 five words, Jaccard similarity of at least 0.8), since a distance of 3 finds almost identical texts only; texts without words are one group in both.
 
 Cases: a null text has no words; repeated rows come back as often as they came; a null doc_id is no candidate for
-component_id unless the group has no other; an empty table gives no rows; other columns stay.
+component_id unless the group has no other; an empty table gives no rows; other columns stay, whatever their names. Where rows share an id (or have none)
+`dedup` keeps the row of the least hash among those of the group that have it.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import map_arrow, short_batches, stored
+from .common import col, fresh, map_arrow, stored, whole_buckets
 from .components import components
 
 BLOCK, BLOCKS = 16, 4
 #: Hashes of one text that are summed at a time.
 STEP = 1 << 14
+#: Fingerprints whose variants one task emits.
+PER_TASK = 20_000
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -99,41 +103,28 @@ def links(distinct: DataFrame, radius: int = 3, name: str = "fingerprint") -> Da
         f" | shiftleft(1L + i div {outside + 1}, {BLOCK} * (i div {outside + 1}))))"
     )
     key = key.replace(f"i div {outside + 1}", f"cast(i div {outside + 1} as int)")
-    variants = distinct.select(F.col(name).alias("f")).select(F.explode(F.expr(key)).alias("key"), "f")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def judged(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.diff(k)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
-            size = ends - starts
-            two = starts[size == 2]
-            two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= radius]
-            u, v = [f[two]], [f[two + 1]]
-            for a, b in zip(starts[size > 2], ends[size > 2], strict=True):
-                own = f[a:b]
-                found = np.asarray(forest(own, radius), dtype=np.int64).reshape(-1, 2)
-                u.append(own[found[:, 0]])
-                v.append(own[found[:, 1]])
-            u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-
-        for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy()])
-            f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(k):
-                continue
-            last = int(np.searchsorted(k, k[-1]))  # the last bucket may go on in the next batch
-            if last:
-                yield judged(k[:last], f[:last])
-            held_k, held_f = k[last:], f[last:]
-        if len(held_k):
-            yield judged(held_k, held_f)
-
-    ordered = variants.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(verify, "u long, v long").distinct()
+    own = distinct.select(F.col(name).alias("f"))
+    tasks = max(own.sparkSession.sparkContext.defaultParallelism, -(-own.count() // PER_TASK))
+    variants = own.repartition(tasks, "f").select(F.explode(F.expr(key)).alias("key"), "f")
+
+    def judged(c: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        if not len(c[0]):
+            return
+        k, f = c[0], c[1].view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.concatenate([starts, [len(k)]]))
+        two = starts[size == 2]
+        two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= radius]
+        u, v = [f[two]], [f[two + 1]]
+        for a, b in zip(starts[size > 2], (starts + size)[size > 2], strict=True):
+            found = np.asarray(forest(f[a:b], radius), dtype=np.int64).reshape(-1, 2)
+            u.append(f[a:b][found[:, 0]])
+            v.append(f[a:b][found[:, 1]])
+        u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        yield [pairs[0], pairs[1]]
+
+    return whole_buckets(variants.repartition("key").sortWithinPartitions("key"), judged, "u long, v long").distinct()
 
 
 def named(own: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,7 +138,7 @@ def named(own: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, text: str, doc_id: str, words: int, radius: int | None, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fingerprint) of each row, without a radius the id of its set of shingles in the place of the fingerprint; and `named`."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     if radius is not None:
         own = stored(fingerprints(rows, words=words).drop("text"), "simhash")
         return own, named(own, links(own.select("fingerprint").distinct(), radius))
@@ -163,15 +154,19 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = shingles.WORDS, radius: int | None = None, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """One document of each group, that of the least doc_id. Where rows share an id (or have none), one row of the group with it."""
+    """One document of each group, that of the least doc_id. Texts are dealt out by their ids once, whatever the size."""
     own, group = _linked(docs, text, doc_id, words, radius, similarity)
-    group = group.select(*[F.col(c).alias(f"__{c}") for c in ("fingerprint", "root", "component_id")])
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__component_id"))
+    n_set, n_root, n_first, n_hash = fresh(docs, "set_id", "root", "first_id", "row_hash")
+    same = col(doc_id).eqNullSafe(col(n_first))
     if own.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # an id doesn't name a row: rows are told apart by their own fingerprints
-        marked = shingles.set_ids(docs, text, words, "__fingerprint") if radius is None else fingerprints(docs, text, words, "__fingerprint")
-        rows = marked.join(group, "__fingerprint")
-        return rows.filter(same).dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.join(group.select("__component_id").distinct(), same, "left_semi")
+        group = group.select(F.col("fingerprint").alias(n_set), F.col("root").alias(n_root), F.col("component_id").alias(n_first))
+        marked = shingles.set_ids(docs, text, words, n_set) if radius is None else fingerprints(docs, text, words, n_set)
+        rows = marked.join(group, n_set).filter(same)
+        row = F.struct(*[col(c).alias(c) for c in docs.columns])
+        one = rows.groupBy(n_root).agg(F.min_by(row, F.struct(F.xxhash64(col(text)), F.xxhash64(*[col(c) for c in docs.columns]))).alias(n_hash))
+        return one.select(*[col(n_hash).getField(c).alias(c) for c in docs.columns])
+    first = group.select(F.col("component_id").alias(n_first)).distinct()
+    return docs.join(first.hint("shuffle_hash"), same, "left_semi")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ an empty table has no shards; the text's other columns are not stored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -60,8 +61,21 @@ class Generations:
         return out
 
 
-class WordEncoder:
-    """The library's ids of whole texts, from a memo of the ids of their parts.
+class TextEncoder:
+    """The library's ids of whole texts, for any tokenizer."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if self.size < 1 << 16 else "<u4"
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class WordEncoder(TextEncoder):
+    """The same from a memo of the ids of their parts, for tokenizers that part texts and lower-case them as the fixed values say (`fits`).
 
     White space always parts pre-tokens, and so does the place between a word of letters and the signs of `TAIL` after it; parts seen before aren't encoded again.
     Unknown words of letters alone go to the library as one text, and are told apart by the ends of words in its tokens.
@@ -69,11 +83,22 @@ class WordEncoder:
 
     TAIL = ".,!?;:%&$#*()-"
 
+    # What a tokenizer's file says of itself where white space parts pre-tokens, letters are one pre-token and ASCII goes to lower case.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+    @classmethod
+    def fits(cls, path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model = told["model"]
+        plain_model = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(x) for x in ("continuing_subword_prefix", "dropout", "ignore_merges"))
+        parted = not any(any(c.isspace() for c in t["content"]) for t in told.get("added_tokens") or [])
+        return plain_model and parted and told.get("normalizer") == cls.NORMALIZER and told.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [cls.SPLIT, cls.BYTES]}
+
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        self.kind = "<u2" if self.size < 1 << 16 else "<u4"
+        super().__init__(path)
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -113,8 +138,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> TextEncoder:
+    return WordEncoder(path) if WordEncoder.fits(path) else TextEncoder(path)
 
 
 class Block:
@@ -156,14 +181,28 @@ class Block:
             out.append(a.astype(np.int64))
         return Block(first, out[0], out[1], out[3], out[2], count)
 
+    def _used(self, symbols: np.ndarray) -> list[int]:
+        """The rules that symbols need, each after those that it needs itself."""
+        used = np.zeros(len(self.left), dtype=bool)
+        used[np.unique(symbols[symbols >= self.first]) - self.first] = True
+        for i in range(len(used) - 1, -1, -1):  # a rule's sides are older than it is
+            if used[i]:
+                for side in (self.left[i], self.right[i]):
+                    if side >= self.first:
+                        used[side - self.first] = True
+        return np.flatnonzero(used).tolist()
+
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for: all nonterminals used are expanded once, one after another, and their stretches gathered."""
-        own: list[bytes] = []
+        """The ids that symbols stand for: the nonterminals that they need are expanded once, one after another, and their stretches gathered."""
+        used = self._used(symbols)
+        own: dict[int, bytes] = {}
         word = lambda s: s.to_bytes(4, "little") if s < self.first else own[s - self.first]
-        for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
-            own.append(word(a) + word(b))
-        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), np.frombuffer(b"".join(own), dtype="<u4")])
-        sizes = np.concatenate([np.ones(self.first, dtype=np.int64), self.lengths.astype(np.int64)])
+        for i in used:
+            own[i] = word(int(self.left[i])) + word(int(self.right[i]))
+        flat = np.concatenate([np.arange(self.first, dtype=np.uint32), np.frombuffer(b"".join(own.values()), dtype="<u4")])
+        rules = np.zeros(len(self.left), dtype=np.int64)
+        rules[used] = self.lengths[used]
+        sizes = np.concatenate([np.ones(self.first, dtype=np.int64), rules])
         begins = np.cumsum(sizes) - sizes
         n = sizes[symbols]
         ends = np.cumsum(n)

@@ -8,7 +8,7 @@ of them, the trees from the third and the calibration from the fourth, so none i
 Fitting takes at most `most` labelled texts (those of the smallest hashes of the id); scoring reads all texts.
 
 Cases: null and empty texts get the score of a text without hits; repeated rows get equal scores; without labels of both kinds the
-score is the share of label 1 (0 without labels); other columns stay, but for those that are added.
+score is the share of label 1 (0 without labels); a doc_id with several labels is toxic if one says so; other columns stay, but for the one that is added.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, map_arrow, sample_ids, short_batches
+from .common import col, fold, map_arrow, sample_ids, short_batches
 
 MOST = 20_000
 LEXICON_MOST = 4_000
@@ -211,11 +211,12 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, most: int = MOST) -> Model:
     """labels: (doc_id, label). Neither labels nor texts of the held-out fold are read."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
+    known = labels.select("doc_id", col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     rate = known.agg(F.avg("y")).first()[0]
     if rate is None or not 0 < rate < 1:
         return Model({}, None, (np.zeros(1), np.zeros(1)), float(rate or 0))
-    picked = sample_ids(known.dropDuplicates(["doc_id"]), "doc_id", most)
+    picked = sample_ids(known, "doc_id", most)
     part = F.pmod(fold("doc_id", folds) - held, F.lit(folds))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y", part.alias("part"))
     weights = learn_lexicon(rows.filter("part <= 2"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillspark.llm import byte_bpe, common, line_dedup, media, mixing, simhash, token_files, topk
+from quillspark.llm import byte_bpe, common, line_dedup, media, mixing, quality, simhash, token_files, topk
 from quillspark.llm.components import components
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -41,12 +42,12 @@ def ids_of(tik, text):
     return np.asarray(tik.encode_ordinary(text or ""), "<u4").tobytes()
 
 
-@pytest.mark.parametrize("chunk, overlap", [(1 << 16, 1 << 10), (64, 16), (16, 4)])
-def test_bpe_chunks_are_the_library(spark, odd, tik, chunk, overlap):
+@pytest.mark.parametrize("chunk, overlap, spread", [(1 << 13, 1 << 8, 1 << 16), (64, 16, 200), (16, 4, 1 << 16), (16, 4, 0)])
+def test_bpe_chunks_are_the_library(spark, odd, tik, chunk, overlap, spread):
     rnd = random.Random(1)
     texts = ["".join(rnd.choice(["a", "é", " ", "  ", "\n", "'s", "1", "!!", "zz", "日本", "'"]) for _ in range(rnd.randint(1, 600))) for _ in range(60)] + [" " * 300 + "z", "ab" * 400, None, ""]
     df = odd if chunk > 100 else spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
-    rows = byte_bpe.decode(byte_bpe.encode(df, RANKS, P.PATTERN, chunk=chunk, overlap=overlap), RANKS, P.PATTERN).collect()
+    rows = byte_bpe.decode(byte_bpe.encode(df, RANKS, P.PATTERN, chunk=chunk, overlap=overlap, spread=spread), RANKS, P.PATTERN).collect()
     assert len(rows) == df.count()
     for r in rows:
         assert bytes(r["token_ids"]) == ids_of(tik, r["text"]) and bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] == len(r["token_ids"]) // 4
@@ -61,7 +62,7 @@ def test_stitching(text, chunk, overlap):
         ends, ids = c.pieces(text[a:b])
         parts.append((a, b, ends, ids))
     got = b"".join(c.memo[s] if ids is None else ids for s, ids in byte_bpe.stitch(text, parts, c.find))
-    assert got == c.encode(text)
+    assert got == c.encode(text) == c.encode(text, chunk, overlap)
 
 
 # -- line dedup ----------------------------------------------------------------------------------------------------------------
@@ -111,7 +112,7 @@ def test_without_filters_in_memory(lined):
     rows, df = lined
     state = line_dedup.build(df)
     a = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in line_dedup.apply(state, df).collect())
-    b = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in line_dedup.apply(state, df, broadcast_bytes=-1).collect())
+    b = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in line_dedup.apply(state, df, refs=state.refs).collect())
     assert a == b
 
 
@@ -225,6 +226,16 @@ def test_word_memo_is_the_library():
         assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    told = json.load(open(WORDS, encoding="utf-8"))
+    assert isinstance(token_files.encoder(WORDS), token_files.WordEncoder)
+    told["normalizer"]["normalizers"].pop()  # without lower case
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    e, t = token_files.encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not isinstance(e, token_files.WordEncoder)
+    assert np.frombuffer(e.encode(["The QUICK fox"])[0], e.kind).tolist() == t.encode("The QUICK fox", add_special_tokens=False).ids
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=300), st.sampled_from([10, 70_000]))
 def test_grammar_round_trip(ids, first):
@@ -258,6 +269,8 @@ def test_raking_meets_the_targets(spark):
     assert [round(share("lang", f"l{b}"), 4) for b in range(3)] == [0.2, 0.5, 0.3]
     plain = {f"s{a}": sum(r[3] for r in rows if r[0] == f"s{a}") ** mixing.TEMPER for a in range(5)}
     assert all(abs(share("source", s) - v / sum(plain.values())) < 1e-4 for s, v in plain.items())
+    assert {r["residual"] for r in out} <= {out[0]["residual"]} and out[0]["residual"] < 1e-6
+    assert mixing.rake(cells).first()["residual"] <= mixing.TOLERANCE
     kept = mixing.calibrated(mixing.rake(cells), keep=0.6).collect()
     assert abs(sum(r["probability"] * r["tokens"] for r in kept) / total - 0.6) < 1e-6 and all(0 <= r["probability"] <= 1 for r in kept)
 
@@ -265,7 +278,7 @@ def test_raking_meets_the_targets(spark):
 def test_mixing_keeps_columns(odd, empty):
     out = mixing.sample(odd)
     assert out.columns == odd.columns and out.count() <= odd.count() and mixing.sample(empty).count() == 0
-    assert {r["weight"] for r in out.collect()} <= {"w"}
+    assert all(r[c] == f"own {c}" for r in out.collect() for c in odd.columns[4:])
     plan = mixing.digests(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -342,6 +355,18 @@ def test_sniffing(kind):
     assert media.sniff(raw[:-1])[0] == media.UNKNOWN or kind in ("application/pdf", "audio/wav") or media.sniff(raw[:-1])[1] < len(raw)
 
 
+def test_archives_after_one_another():
+    one = samples()["application/zip"]
+    found = media.sniff(one + b"--" + one + b"PK\x03\x04")
+    assert found[:2] == ("application/zip", len(one)) and (("application/zip", len(one) + 2, len(one)) in found[2])
+
+
+def test_products_that_leave_64_bits(spark):
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[2**40, 1]]), np.array([[2**40, 1]]))
+    assert topk.products(np.array([[2**40, 1]]), np.array([[2**20, 1]])).tolist() == [[2**60 + 1]]
+
+
 def test_wrong_checksum_is_not_confirmed():
     raw = bytearray(png())
     raw[-20] ^= 1
@@ -370,6 +395,41 @@ def test_packed_texts(odd, empty):
 # -- shared ------------------------------------------------------------------------------------------------------------------------------
 
 
+def test_other_columns_stay(spark, odd):
+    """Columns with names that operators use while they work come back as they were."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(14)], "doc_id long, quality int")
+    for out in (simhash.dedup(odd), simhash.dedup(odd.filter("doc_id <> 3")), quality.keep(odd, labels, threshold=0.0), line_dedup.dedup(odd, lines="before", dropped="gone"), byte_bpe.encode(odd, RANKS, P.PATTERN, spread=50)):
+        rows = out.collect()
+        assert rows and set(odd.columns) <= set(out.columns) and all(r[c] == f"own {c}" for r in rows for c in odd.columns[4:])
+
+
+def test_fresh_names(spark):
+    df = spark.createDataFrame([(1, 2)], "A int, a_ int")
+    assert common.fresh(df, "a", "b", "B") == ["a__", "b", "B_"]
+
+
+def test_no_folder_of_its_own_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host"
+
+        class _jsc:
+            class sc:
+                def getCheckpointDir(self):
+                    class Option:
+                        isDefined = staticmethod(lambda: False)
+
+                    return Option
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session, "x")
+
+
 def test_folds(spark):
     df = spark.range(300).select("id", common.fold("id", 5).alias("f"))
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in df.collect())

@@ -116,6 +116,67 @@ def test_forward_backward_is_exact():
     assert np.allclose(post[0], got[:4]) and np.isclose(pairs.sum(), 3)
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 300])
+def test_long_chains_in_blocks(block):
+    rng = np.random.default_rng(3)
+    sizes = np.array([17, 1, 6, 250, 11])
+    starts = np.cumsum(sizes) - sizes
+    e, start, moves = rng.normal(size=(sizes.sum(), 4)) * 3, rng.normal(size=4), rng.normal(size=(4, 4))
+    assert np.allclose(language.forward_backward(e, starts, sizes, start, moves, block), language.forward_backward(e, starts, sizes, start, moves, 1000))
+
+
+def test_switched_words(tables):
+    """Words of held-out texts of two languages in turn, seven of one and then seven of the other."""
+    rows, docs, _ = tables
+    field, rnd, right, every = language.train(docs), random.Random(9), 0, 0
+    held = [(r[1].rstrip(".").lower().split(), r[2]) for r in rows if fold(r[0], 4) == 2 and r[1].islower() and r[1].count(" ") > 20]
+    for _ in range(60):
+        words, want = [], []
+        for own, lang in rnd.sample(held, 3):
+            own = [w for w in own if w.isalpha()][:7]
+            words, want = words + own, want + [lang] * len(own)
+        post = language.Labeller(field).word_posteriors([" ".join(words)])[1]
+        right += sum(field.langs[i] == w for i, w in zip(post.argmax(axis=1), want, strict=True))
+        every += len(want)
+    assert right / every > 0.9
+
+
+def test_each_of_many_languages_is_learned(spark):
+    rows = [(i, f"wa{i % 60}x wb{i % 60}y wc{i % 60}z", f"l{i % 60}") for i in range(600)]
+    assert len(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=30).langs) == 60
+
+
+def test_risk_and_its_derivative():
+    rng = np.random.default_rng(2)
+    positive = np.arange(30) < 12
+    for shift, prior in ((0.0, 0.4), (-3.0, 0.9), (3.0, 0.2)):
+        g = rng.normal(size=30) + np.where(positive, -shift, shift)
+        plus, minus = np.log1p(np.exp(-g)), np.log1p(np.exp(g))
+        rest = minus[12:].mean() - prior * minus[:12].mean()
+        value, d = quality.pu_risk(g, positive, prior)
+        assert np.isclose(value, prior * plus[:12].mean() + max(0, rest))
+        whole = lambda x: (prior * np.log1p(np.exp(-x[:12])).mean() + np.log1p(np.exp(x[12:])).mean() - prior * np.log1p(np.exp(x[:12])).mean()) if rest >= 0 else -(np.log1p(np.exp(x[12:])).mean() - prior * np.log1p(np.exp(x[:12])).mean())  # noqa: E731, B023
+        step = np.array([(whole(g + 1e-6 * np.eye(30)[i]) - whole(g - 1e-6 * np.eye(30)[i])) / 2e-6 for i in range(30)])
+        assert np.allclose(d, step, atol=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(4)
+    draw = lambda n, at: rng.normal(at, 1, (n, 3))
+    unl = rng.permutation(np.concatenate([draw(int(3000 * prior), 1.8), draw(3000 - int(3000 * prior), -1.8)]))
+    assert abs(quality.estimate_prior(draw(1500, 1.8), unl) - prior) < 0.06
+
+
+def test_quality_without_any_label_0(tables, spark):
+    rows, docs, labels = tables
+    got = {r["doc_id"]: r["score"] for r in quality.digests(docs, labels.filter("quality = 1")).collect()}
+    held = [r for r in rows if fold(r[0], 5) == 0]
+    assert np.mean([(got[r[0]] >= 0.5) == r[3] for r in held]) > 0.95
+    same = {r["doc_id"]: r["score"] for r in quality.digests(docs, labels).collect()}
+    assert same == got
+
+
 def test_awkward_rows(spark, odd, empty, tables):
     _, docs, labels = tables
     net, model, field = quality.train(docs, labels), toxicity.train(docs, labels), language.train(docs)

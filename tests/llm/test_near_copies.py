@@ -83,8 +83,16 @@ def test_sketches_bound_the_difference():
     for _ in range(50):
         a, b = (" ".join(rnd.choices("abcdef", k=rnd.randint(0, 3000))).encode() for _ in range(2))
         x, y = shingles.shingles(a), shingles.shingles(b)
-        p, q = shingles.sketch(x), shingles.sketch(y)
-        n = min(len(p), len(q))
-        p, q = (np.bitwise_xor.reduce(s.reshape(-1, n), axis=0) for s in (p, q))
-        bits = int(np.bitwise_count((p ^ q).view("uint64")).sum())
+        bits = int(np.bitwise_count((shingles.sketch(x) ^ shingles.sketch(y)).view("uint64")).sum())
         assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_pairs_of_a_bucket_are_few():
+    """Neighbours and leaders: linear in the bucket, and connected where all are alike."""
+    n = 5000
+    c = [np.zeros(n, np.int64), np.arange(n), np.full(n, 50, np.int32), np.zeros(n, np.int32), *[np.zeros(n, np.int64)] * shingles.SKETCH]
+    u, v = next(shingles._nearest(0.8)(c))
+    assert n - 1 <= len(u) < 2.1 * n and np.bincount(np.concatenate([u, v])).max() < 4 * shingles.BLOCK
+    two = [np.concatenate([x, x + (1 if i == 0 else n if i == 1 else 0)]) for i, x in enumerate(c)]
+    u, v = next(shingles._nearest(0.8)(two))
+    assert ((u < n) == (v < n)).all()
