@@ -3,7 +3,8 @@ r"""Mixing sources to target weights by iterative proportional fitting, in DataF
 Each document's topic and tokens are found in one pass and written to the shared folder; documents are counted into cells (source,
 language, topic) with their tokens, and all later sums are over cells. A sweep of raking multiplies each cell's weight so that the weighted tokens meet the
 target shares of sources, then of languages, then of topics. Sweeps go on until none changes a weight by more than `tolerance` (relative), and `sweeps` at
-most; `rake` gives the last change as the column residual. A margin's sum is a small aggregation that is joined back, so no task holds all cells.
+most; `rake` gives the last change as the column residual. Cells are dealt out by the values of a margin for its step (a value's cells, not its documents, are one
+task's rows, which Spark spills); sums over all cells are aggregations of one row.
 
 Without given targets, the target share of a value is its share of tokens to the power `temper`, normalised, which lifts small ones, but at most
 `lift` times its own share; what that takes away goes to the other values in proportion. A document's
@@ -19,12 +20,12 @@ are left out and the others share their weight; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import col, fresh, stored
 
-SWEEPS, TOLERANCE, TEMPER, LIFT = 18, 1e-12, 0.7, 2.0
+SWEEPS, TOLERANCE, TEMPER, LIFT = 20, 1e-9, 0.7, 2.0
 MARGINS = ("source", "lang", "topic")
 
 # Signs of topics, the first that fits counts.
@@ -53,54 +54,55 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _joined(cells: DataFrame, side: DataFrame, margin: str) -> DataFrame:
-    """cells with the columns of side, whose key is `v`."""
-    return cells.join(side, F.col(margin).eqNullSafe(F.col("v")), "left").drop("v")
-
-
-def tempered(cells: DataFrame, margin: str, temper: float = TEMPER, lift: float = LIFT) -> DataFrame:
-    """(v, share): the target shares of a margin."""
-    own = cells.groupBy(F.col(margin).alias("v")).agg(F.sum("tokens").cast("double").alias("tokens")).filter("tokens > 0")
-    sums = own.agg(F.sum("tokens").alias("all"), F.sum(F.pow("tokens", F.lit(temper))).alias("powers")).first()
-    if not sums["all"]:
-        return own.select("v", F.lit(0.0).alias("share"))
-    own = own.select("v", (F.col("tokens") / F.lit(sums["all"])).alias("now"), (F.pow("tokens", F.lit(temper)) / F.lit(sums["powers"])).alias("share"))
+def tempered(cells: DataFrame, margins: tuple[str, ...] = MARGINS, temper: float = TEMPER, lift: float = LIFT) -> DataFrame:
+    """(margin, v, share): the target shares of all margins' values; v as text."""
+    own = None
+    for m in margins:
+        one = cells.groupBy(F.lit(m).alias("margin"), F.col(m).cast("string").alias("v")).agg(F.sum("tokens").cast("double").alias("tokens"))
+        own = one if own is None else own.unionByName(one)
+    own = stored(own.filter("tokens > 0"), "margins")
+    sums = own.groupBy("margin").agg(F.sum("tokens").alias("all"), F.sum(F.pow("tokens", F.lit(temper))).alias("powers"))
+    own = own.join(F.broadcast(sums), "margin").select("margin", "v", (F.col("tokens") / F.col("all")).alias("now"), (F.pow("tokens", F.lit(temper)) / F.col("powers")).alias("share"))
     high = F.col("share") > lift * F.col("now")
-    cut = own.agg(F.sum(F.when(high, lift * F.col("now")).otherwise(0.0)).alias("held"), F.sum(F.when(high, 0.0).otherwise(F.col("share"))).alias("free")).first()
-    return own.select("v", F.when(high, lift * F.col("now")).otherwise(F.col("share") * F.lit((1 - cut["held"]) / cut["free"] if cut["free"] else 1.0)).alias("share"))
+    cut = own.groupBy("margin").agg(F.sum(F.when(high, lift * F.col("now")).otherwise(0.0)).alias("held"), F.sum(F.when(high, 0.0).otherwise(F.col("share"))).alias("free"))
+    rest = F.when(F.col("free") > 0, F.col("share") * (1 - F.col("held")) / F.col("free")).otherwise(F.col("share"))
+    return own.join(F.broadcast(cut), "margin").select("margin", "v", F.when(high, lift * F.col("now")).otherwise(rest).alias("share"))
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, sweeps: int = SWEEPS, temper: float = TEMPER, lift: float = LIFT, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, sweeps: int = SWEEPS, temper: float = TEMPER, lift: float = LIFT, targets: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE, each: int = 4) -> DataFrame:
     """cells (margins, tokens) with weight, and with residual: the largest relative change of a weight in the last sweep.
 
     targets: for a margin a table (value, share).
     """
-    out = stored(cells.groupBy(*margins).agg(F.sum("tokens").alias("tokens")), "cells")
-    total = float(out.agg(F.sum("tokens")).first()[0] or 0)
+    cells = stored(cells.groupBy(*margins).agg(F.sum("tokens").alias("tokens")), "cells")
+    goals = tempered(cells, margins, temper, lift)
+    for m in targets or {}:
+        seen = cells.filter("tokens > 0").select(F.col(m).cast("string").alias("w")).distinct()
+        given = targets[m].select(F.lit(m).alias("margin"), F.col("value").cast("string").alias("v"), F.col("share").cast("double").alias("share")).join(seen, F.col("v").eqNullSafe(F.col("w")), "left_semi")
+        whole = given.groupBy("margin").agg(F.sum("share").alias("whole"))
+        goals = goals.filter(F.col("margin") != m).unionByName(given.join(F.broadcast(whole), "margin").select("margin", "v", (F.col("share") / F.col("whole")).alias("share")))
+    goals = stored(goals, "targets")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    out, names = cells.withColumn("weight", F.lit(1.0)), [*margins, "tokens", *(f"t_{m}" for m in margins)]
     for m in margins:
-        if targets and m in targets:
-            seen = out.groupBy(F.col(m).alias("w")).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-            given = targets[m].select(F.col("value").alias("v"), F.col("share").cast("double").alias("share"))
-            given = given.join(seen.select("w"), F.col("v").eqNullSafe(F.col("w")), "left_semi")
-            whole = float(given.agg(F.sum("share")).first()[0] or 0)
-            side = given.select("v", (F.col("share") / F.lit(whole or 1.0)).alias(f"t_{m}"))
-        else:
-            side = tempered(out, m, temper, lift).withColumnRenamed("share", f"t_{m}")
-        out = _joined(out, side, m).fillna(0.0, [f"t_{m}"])
-    out = stored(out.withColumn("weight", F.lit(1.0)), "raking")
-    residual = None
-    for _ in range(sweeps):
-        now = out.withColumn("before", F.col("weight"))
-        for m in margins:
-            sums = now.groupBy(F.col(m).alias("v")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("sum"))
-            weight = F.when(F.col("sum") > 0, F.col("weight") * F.col(f"t_{m}") * F.lit(total) / F.col("sum")).otherwise(0.0)
-            now = _joined(now, sums, m).withColumn("weight", weight).drop("sum")
-        now = stored(now, "raking")
-        residual = now.filter("before > 0 and tokens > 0").agg(F.max(F.abs(F.col("weight") / F.col("before") - 1))).first()[0]
-        out = now.drop("before")
-        if not residual or residual <= tolerance:
+        own = goals.filter(F.col("margin") == m).select("v", F.col("share").alias(f"t_{m}"))
+        out = out.join(own, F.col(m).cast("string").eqNullSafe(F.col("v")), "left").drop("v")
+    out = stored(out.fillna(0.0, [f"t_{m}" for m in margins]), "raking")
+    residual = 0.0
+    for done in range(0, sweeps, each):
+        now = out
+        for _ in range(done, min(sweeps, done + each)):
+            now = now.select(*names, "weight", F.col("weight").alias("before"))
+            for m in margins:
+                held = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(m))
+                now = now.select(*names, F.when(held > 0, F.col("weight") * F.col(f"t_{m}") * F.lit(total) / held).otherwise(0.0).alias("weight"), "before")
+        change = Observation()  # of the last of these sweeps, measured while they are written
+        counts = (F.col("before") > 0) & (F.col("tokens") > 0)
+        out = stored(now.observe(change, F.max(F.when(counts, F.abs(F.col("weight") / F.col("before") - 1))).alias("most")).drop("before"), "raking")
+        residual = change.get["most"] or 0.0
+        if residual <= tolerance:
             break
-    return out.select(*margins, "tokens", "weight", F.lit(float(residual or 0.0)).alias("residual"))
+    return out.select(*margins, "tokens", "weight", F.lit(float(residual)).alias("residual"))
 
 
 def constant(cells: DataFrame, keep: float | None = None) -> float:
