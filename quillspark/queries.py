@@ -228,15 +228,37 @@ def fuzzy_suggest(s, d):
     return suggest(asked, parts)
 
 
+#: Forms that each page's file has besides its own text: a list, a quotation, a table, code whose lines look like headings, a comment, emphasis and code spans.
+FORMS = """
+- one *item*
+- another, with `code` and [no link][x]
+
+> A **quotation** of it.
+
+| name | value |
+|------|-------|
+| port | 8080  |
+
+```sh
+# not a heading
+[no](link.md)
+```
+
+<!-- # not a heading either -->
+"""
+
+
 def _markdown(s, d):
-    """Pages as Markdown files: front matter, a heading, the page's headings as sections and its links."""
+    """Pages as Markdown files: front matter, a heading, the page's headings as sections, each with the page's whole text, and its links."""
     pages = load(s, d, "pages")
     heads = reading.html_headings(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "level", "heading"))).alias("h"))
     links = reading.html_links(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "target", "anchor"))).alias("l"))
-    head = F.transform(F.coalesce("h", F.array().cast("array<struct<ord:int,level:int,heading:string>>")), lambda x: F.concat(F.repeat(F.lit("#"), x["level"] + 1), F.lit(" "), x["heading"], F.lit("\n\nSome words here.\n")))
+    # tags and signs of Markdown off; one line, begun by a word, so that it is a paragraph
+    said = F.concat(F.lit("Text: "), F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<[^>]*>", " "), r"[\s<>`\[\]!|]+", " ")), F.lit("\n"))
+    head = F.transform(F.coalesce("h", F.array().cast("array<struct<ord:int,level:int,heading:string>>")), lambda x: F.concat(F.repeat(F.lit("#"), x["level"] + 1), F.lit(" "), x["heading"], F.lit("\n\n"), F.col("said")))
     link = F.transform(F.coalesce("l", F.array().cast("array<struct<ord:int,target:string,anchor:string>>")), lambda x: F.concat(F.lit("- [x]("), x["target"], F.lit(")\n")))
-    text = F.concat(F.lit("---\ntitle: Page "), "page_id", F.lit("\ntags: [page, odd]\n---\n# Page\n\n"), F.array_join(head, "\n"), F.lit("\n"), F.array_join(link, ""))
-    rows = pages.join(heads, "page_id", "left").join(links, "page_id", "left")
+    text = F.concat(F.lit("---\ntitle: Page "), "page_id", F.lit("\ntags: [page, odd]\n---\n# Page\n\n"), F.col("said"), F.lit(FORMS), F.array_join(head, "\n"), F.lit("\n"), F.array_join(link, ""))
+    rows = pages.withColumn("said", said).join(heads, "page_id", "left").join(links, "page_id", "left")
     content = text.cast("binary")
     return rows.select(F.col("page_id").alias("doc_seq"), F.concat(F.lit("p/"), "page_id").alias("id"), F.concat(F.lit("p/"), "page_id", F.lit(".md")).alias("rel"), content.alias("content"), F.sha2(content, 256).alias("hash"), F.lit(0).cast("long").alias("mtime_ns"), F.length(content).cast("long").alias("size"))
 
