@@ -17,6 +17,8 @@ from ..session import ship
 #: Rows of an Arrow batch handed to Python. Texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
+#: Bits of a bitmap of ids (16 MB).
+MARKS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +107,29 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+class Marks:
+    """A broadcast bitmap of MARKS bits in which ids are marked by their hash: what isn't marked isn't among them, so that few texts need be dealt out to be compared exactly.
+
+    Its size is the same for any number of ids; with many more of them than bits it only spares less. `hashed` gives the column to test.
+    """
+
+    def __init__(self, ids: DataFrame):
+        at = F.pmod(self.hashed(ids.columns[0]), F.lit(MARKS))
+        words = ids.select(at.alias("at")).selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, cast(at & 63 AS int)) AS b")
+        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most MARKS / 64 rows
+        bits = np.zeros(MARKS // 64, dtype=np.int64)
+        bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        self.bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def hashed(name: str) -> Column:
+        return F.xxhash64(col(name))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.mod(hashes, MARKS)
+        return (self.bits.value[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def whole_buckets(ordered: DataFrame, fn: Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]], schema: str) -> DataFrame:
     """What fn makes of columns of numbers, of which the first is the key of a bucket; partitions are sorted by it and hold whole buckets.
 

@@ -5,8 +5,8 @@ Words are those of `simhash`. Equal sets collapse first. Two sets that similar s
 repeats last, so those of common passages are seldom met (the sample affects speed only, no pair is lost). Sets that meet at such a
 shingle are verified on their whole sets in two steps, so that a large group costs no square: first each with its neighbours by size and with the leaders of
 a tree of blocks (at most BLOCK sets each), then only pairs that the first step's links left in different components. In both, sizes, places and sketches
-leave out pairs that can't reach the threshold before any pair leaves its task. Sets of the pairs that remain are made again from their texts, which are dealt out by their
-ids once in either step, whatever the size.
+leave out pairs that can't reach the threshold before any pair leaves its task, and wider sketches of either set leave out most of the others. Sets of the pairs that remain are made
+again from their texts, where they are: a bitmap of ids tells which texts these are, so no text is dealt out.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, stored, whole_buckets
+from .common import Marks, map_arrow, stored, whole_buckets
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sets of the sample, and the most shingles that are put last.
-SAMPLE, LAST = 20_000, 100_000
+SAMPLE, LAST = 8_000, 100_000
 #: Sets that a leader has, and rows of a bucket that are compared at a time.
 BLOCK, STEP = 64, 1024
 #: Words kept with their hashes.
@@ -93,23 +93,34 @@ def _repeated(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return found["t"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
+def sketch(own: np.ndarray, bits: int = 64 * SKETCH) -> np.ndarray:
     """Parities of the counts of the hashes by their value modulo the bits: two sets differ in at least as many hashes as their sketches in bits."""
-    odd = (np.bincount((own % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    odd = (np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def wide(own: np.ndarray) -> np.ndarray:
+    """The sketch in as many bits as there are hashes, a power of two, and those of `sketch` at least; folded, it is the one of fewer bits."""
+    return sketch(own, max(64 * SKETCH, 1 << max(0, len(own) - 1).bit_length()))
+
+
+def _folded(of: str, size: str) -> str:
+    """SQL: a wide sketch as it is with fewer bits."""
+    return f"if(size({of}) = {size}, {of}, transform(sequence(1, {size}), i -> aggregate(sequence(i, size({of}), {size}), 0L, (s, j) -> s ^ element_at({of}, j))))"
+
+
 def _firsts(rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_id, set_id, size, s0 to s3, first): each row's set by its id, its sketch, and its first shingles."""
+    """(doc_id, set_id, size, s0 to s3, wide, first): each row's set by its id, its sketches, and its first shingles."""
     last, times = _repeated(rows, words)
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids, sizes, bits, first = [], [], [], []
+        ids, sizes, bits, wides, first = [], [], [], [], []
         for x in batch.column(1).cast(pa.binary()).to_pylist():
             own = shingles(x or b"", words)
             ids.append(_id(own))
             sizes.append(len(own))
             bits.append(sketch(own))
+            wides.append(wide(own))
             own = own.view(np.int64)
             if len(last) and len(own):
                 i = np.minimum(np.searchsorted(last, own), len(last) - 1)
@@ -117,11 +128,11 @@ def _firsts(rows: DataFrame, words: int, threshold: float) -> DataFrame:
             else:
                 own = np.sort(own)
             first.append(own[: len(own) - _ceil(threshold * len(own)) + 1])
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (wides, first)]
         columns = np.array(bits, dtype=np.int64).reshape(-1, SKETCH).T
-        return dict(enumerate([batch.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in columns), lists]))
+        return dict(enumerate([batch.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in columns), *lists]))
 
-    added = [T.StructField("set_id", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in BITS), T.StructField("first", T.ArrayType(T.LongType()))]
+    added = [T.StructField("set_id", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in BITS), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("wide", "first"))]
     return map_arrow(rows.select("doc_id", "text"), run, T.StructType([rows.schema["doc_id"], *added]))
 
 
@@ -209,15 +220,31 @@ def _across(threshold: float) -> Callable[[list[np.ndarray]], Iterator[list[np.n
     return run
 
 
+def _made_again(rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(set_id, own): the sets of the rows whose ids docs (one column) may hold, each made in the task that has the text."""
+    marks, long = Marks(docs), T.LongType()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        here = batch.filter(pa.array(marks.has(batch.column(1).to_numpy())))
+        own = [shingles(x or b"", words) for x in here.column(0).cast(pa.binary()).to_pylist()]
+        ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+        return {"set_id": pa.array(np.array([_id(x) for x in own], dtype=np.uint64).view(np.int64)), "own": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))}
+
+    return map_arrow(rows.select("text", marks.hashed("doc_id").alias("h")), run, T.StructType([T.StructField("set_id", long), T.StructField("own", T.ArrayType(long))]))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, once: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs that are as similar as the threshold, by their whole sets, which are made again from a text of each."""
-    members = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("set_id"))
-    named = once.join(members.select("set_id").distinct(), "set_id", "left_semi").select(F.col("first_doc").alias("__doc")).distinct()
-    texts = rows.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
-    sets = set_ids(texts, words=words, sets="own").select("set_id", "own").dropDuplicates(["set_id"])
-    both = members.join(sets, "set_id").groupBy("u", "v").agg(F.collect_list("own").alias("own"))
-    both = both.select("u", "v", F.size(F.array_intersect(F.col("own")[0], F.col("own")[1])).alias("x"), (F.size(F.col("own")[0]) + F.size(F.col("own")[1])).alias("n"))
-    return both.filter(F.col("x") >= F.lit(threshold) * (F.col("n") - F.col("x")) - 1e-9).select("u", "v")
+    """The pairs that are as similar as the threshold: by their wide sketches first, which bound the difference from below, then by their whole sets."""
+    known = once.select("set_id", F.struct("size", "wide").alias("k"))
+    both = pairs.join(known.select(F.col("set_id").alias("u"), F.col("k").alias("a")), "u").join(known.select(F.col("set_id").alias("v"), F.col("k").alias("b")), "v")
+    size = "least(size(a.wide), size(b.wide))"
+    least = F.expr(f"aggregate(zip_with({_folded('a.wide', size)}, {_folded('b.wide', size)}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    left = stored(both.filter(least * (1 + threshold) <= (1 - threshold) * (F.col("a.size") + F.col("b.size")) + 1e-6).select("u", "v"), "shingles-left")
+    docs = left.select(F.explode(F.array("u", "v")).alias("set_id")).distinct().join(once.select("set_id", "first_doc"), "set_id").select("first_doc").distinct()
+    sets = stored(_made_again(rows, docs, words), "shingles-sets")
+    both = left.join(sets.select(F.col("set_id").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("set_id").alias("v"), F.col("own").alias("b")), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("x"), (F.size("a") + F.size("b")).alias("n"))
+    return both.filter(F.col("x") >= F.lit(threshold) * (F.col("n") - F.col("x")) - 1e-9).select("u", "v").distinct()
 
 
 def linked(rows: DataFrame, words: int = WORDS, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +252,7 @@ def linked(rows: DataFrame, words: int = WORDS, threshold: float = SIMILARITY) -
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a similarity over 0")
     own = stored(_firsts(rows, words, threshold), "shingles")
-    once = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("size", *BITS)]), "shingles-once")
+    once = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("size", *BITS, "wide")]), "shingles-once")
     first = own.select("set_id", "size", "first").dropDuplicates(["set_id"]).select("set_id", "size", F.posexplode("first").alias("place", "t")).select("t", "set_id", "size", "place")
     met = _by_bucket(first, lambda c: iter([c]), "t long, set_id long, size int, place int")
     met = stored(met.join(once.select("set_id", *BITS), "set_id").select("t", "set_id", "size", "place", *BITS), "shingles-met")

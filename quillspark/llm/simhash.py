@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import col, fresh, map_arrow, stored, whole_buckets
+from .common import Marks, col, fresh, map_arrow, stored, whole_buckets
 from .components import components
 
 BLOCK, BLOCKS = 16, 4
@@ -154,7 +154,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = shingles.WORDS, radius: int | None = None, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """One document of each group, that of the least doc_id. Texts are dealt out by their ids once, whatever the size."""
+    """One document of each group, that of the least doc_id."""
     own, group = _linked(docs, text, doc_id, words, radius, similarity)
     n_set, n_root, n_first, n_hash = fresh(docs, "set_id", "root", "first_id", "row_hash")
     same = col(doc_id).eqNullSafe(col(n_first))
@@ -165,8 +165,20 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: in
         row = F.struct(*[col(c).alias(c) for c in docs.columns])
         one = rows.groupBy(n_root).agg(F.min_by(row, F.struct(F.xxhash64(col(text)), F.xxhash64(*[col(c) for c in docs.columns]))).alias(n_hash))
         return one.select(*[col(n_hash).getField(c).alias(c) for c in docs.columns])
-    first = group.select(F.col("component_id").alias(n_first)).distinct()
-    return docs.join(first.hint("shuffle_hash"), same, "left_semi")
+    gone = own.join(group, "fingerprint").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(n_first))
+    gone = stored(gone.distinct(), "simhash-gone")
+    marks = Marks(gone)
+    hashed = docs.withColumn(n_hash, marks.hashed(doc_id))
+
+    def taken(marked: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> dict:
+            here = marks.has(batch.column(batch.num_columns - 1).to_numpy()) == marked
+            return dict(enumerate(batch.filter(pa.array(here)).columns[:-1]))
+
+        return map_arrow(hashed, run, docs.schema)
+
+    # rows whose ids aren't marked stay; only the others are dealt out to be compared with the ids that go
+    return taken(False).unionByName(taken(True).join(gone.hint("shuffle_hash"), same, "left_anti"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
