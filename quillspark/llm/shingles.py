@@ -1,10 +1,14 @@
-"""Near copies by exact similarity: texts link where the Jaccard similarity of their sets of word shingles is at least a threshold.
+"""Near copies: ball hashing of the sets' SimHash fingerprints, an exact check of similarity, and an exact way for pairs that no ball reaches.
 
-Words are those of `simhash`. Equal sets collapse first. Two sets that similar share a shingle among the first
+Texts link where the Jaccard similarity of their sets of word shingles is at least a threshold. Words are those of `simhash`. Equal sets collapse first.
+Each set has the SimHash fingerprint of its shingles; distinct fingerprints meet by ball hashing (`simhash.links`, passed as `near`), the sets of one fingerprint
+in a bucket, and all these candidates are verified.
+
+Fingerprints of similar sets may differ in more bits than a ball has, so the other pairs are found as well. Two sets that similar share a shingle among the first
 `size - ceil(threshold x size) + 1` of each, in any order that holds for all sets; the order here puts shingles that a sample of the sets
 repeats last, so those of common passages are seldom met (the sample affects speed only, no pair is lost). Sets that meet at such a
-shingle are verified on their whole sets in two steps, so that a large group costs no square: first each with its neighbours by size and with the leaders of
-a tree of blocks (at most BLOCK sets each), then only pairs that the first step's links left in different components. In both, sizes, places and sketches
+shingle are verified on their whole sets in two steps, so that a large group costs no square: with the candidates of the balls each with its neighbours by size and with
+the leaders of a tree of blocks (at most BLOCK sets each), then only pairs that the first step's links left in different components. In both, sizes, places and sketches
 leave out pairs that can't reach the threshold before any pair leaves its task, and wider sketches of either set leave out most of the others. Sets of the pairs that remain are made
 again from their texts, where they are: a bitmap of ids tells which texts these are, so no text is dealt out.
 """
@@ -28,6 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 SAMPLE, LAST = 8_000, 100_000
 #: Sets that a leader has, and rows of a bucket that are compared at a time.
 BLOCK, STEP = 64, 1024
+#: Hashes of a set whose bits are summed at a time.
+FEW = 1 << 14
 #: Words kept with their hashes.
 MEMO = 300_000
 #: Words of 64 bits of a sketch.
@@ -63,6 +69,14 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set, unsigned: the bits that over half of its hashes have; zero without any."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), FEW):
+        total += np.unpackbits(own[at : at + FEW].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(own), bitorder="little").tobytes(), "little")
+
+
 def _id(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), 42)
 
@@ -110,15 +124,16 @@ def _folded(of: str, size: str) -> str:
 
 
 def _firsts(rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_id, set_id, size, s0 to s3, wide, first): each row's set by its id, its sketches, and its first shingles."""
+    """(doc_id, set_id, size, fingerprint, s0 to s3, wide, first): each row's set by its id, its fingerprint, its sketches, and its first shingles."""
     last, times = _repeated(rows, words)
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids, sizes, bits, wides, first = [], [], [], [], []
+        ids, sizes, prints, bits, wides, first = [], [], [], [], [], []
         for x in batch.column(1).cast(pa.binary()).to_pylist():
             own = shingles(x or b"", words)
             ids.append(_id(own))
             sizes.append(len(own))
+            prints.append(fingerprint(own))
             bits.append(sketch(own))
             wides.append(wide(own))
             own = own.view(np.int64)
@@ -130,9 +145,9 @@ def _firsts(rows: DataFrame, words: int, threshold: float) -> DataFrame:
             first.append(own[: len(own) - _ceil(threshold * len(own)) + 1])
         lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (wides, first)]
         columns = np.array(bits, dtype=np.int64).reshape(-1, SKETCH).T
-        return dict(enumerate([batch.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in columns), *lists]))
+        return dict(enumerate([batch.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in columns), *lists]))
 
-    added = [T.StructField("set_id", T.LongType()), T.StructField("size", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in BITS), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("wide", "first"))]
+    added = [T.StructField("set_id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("fingerprint", T.LongType()), *(T.StructField(c, T.LongType()) for c in BITS), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("wide", "first"))]
     return map_arrow(rows.select("doc_id", "text"), run, T.StructType([rows.schema["doc_id"], *added]))
 
 
@@ -247,16 +262,29 @@ def _verified(pairs: DataFrame, rows: DataFrame, once: DataFrame, words: int, th
     return both.filter(F.col("x") >= F.lit(threshold) * (F.col("n") - F.col("x")) - 1e-9).select("u", "v").distinct()
 
 
-def linked(rows: DataFrame, words: int = WORDS, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, text): (doc_id, set_id) of each, and (u, v): links of set ids that connect all sets that the similarity connects."""
+def in_balls(once: DataFrame, near: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(u, v): candidates by fingerprints. `near` links distinct fingerprints, each of which stands for its least set; sets of one fingerprint are a bucket."""
+    least = once.groupBy("fingerprint").agg(F.min("set_id").alias("set_id"))
+    held = [least.select(F.col("fingerprint").alias(c), F.col("set_id").alias(f"of_{c}")) for c in ("u", "v")]
+    apart = near(once.select("fingerprint").distinct()).join(held[0], "u").join(held[1], "v").select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v"))
+    same = _by_bucket(once.select(F.col("fingerprint").alias("t"), "set_id", "size", F.lit(0).alias("place"), *BITS), _nearest(threshold), "u long, v long")
+    return apart.unionByName(same)
+
+
+def linked(rows: DataFrame, near: Callable[[DataFrame], DataFrame], words: int = WORDS, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, text): (doc_id, set_id) of each, and (u, v): links of set ids that connect all sets that the similarity connects.
+
+    near: links (u, v) of the distinct fingerprints (one column) that lie in one another's balls.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a similarity over 0")
     own = stored(_firsts(rows, words, threshold), "shingles")
-    once = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("size", *BITS, "wide")]), "shingles-once")
+    once = stored(own.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("size", "fingerprint", *BITS, "wide")]), "shingles-once")
+    balls = stored(in_balls(once, near, threshold), "shingles-balls")
     first = own.select("set_id", "size", "first").dropDuplicates(["set_id"]).select("set_id", "size", F.posexplode("first").alias("place", "t")).select("t", "set_id", "size", "place")
     met = _by_bucket(first, lambda c: iter([c]), "t long, set_id long, size int, place int")
     met = stored(met.join(once.select("set_id", *BITS), "set_id").select("t", "set_id", "size", "place", *BITS), "shingles-met")
-    pairs = stored(_by_bucket(met, _nearest(threshold), "u long, v long").distinct(), "shingles-pairs")
+    pairs = stored(_by_bucket(met, _nearest(threshold), "u long, v long").unionByName(balls).distinct(), "shingles-pairs")
     roots = stored(components(_verified(pairs, rows, once, words, threshold)), "shingles-roots")
     rooted = met.join(roots, F.col("set_id") == F.col("node"), "left").select("t", "set_id", "size", "place", *BITS, F.coalesce("root", "set_id").alias("root"))
     pairs = stored(_by_bucket(rooted, _across(threshold), "u long, v long").distinct(), "shingles-pairs")

@@ -13,8 +13,9 @@ emit. A shuffle sorts the variants; of each bucket the distances are verified, a
 bucket a spanning forest leaves the task, never all pairs. Copies of a fingerprint collapse before that. Components are found
 over the links of distinct fingerprints.
 
-That is the contract of op2. Without a radius, `groups` and `dedup` link by the exact similarity of the sets of shingles instead (`shingles`:
-five words, Jaccard similarity of at least 0.8), since a distance of 3 finds almost identical texts only; texts without words are one group in both.
+That is the contract of op2. Without a radius, `groups` and `dedup` take the fingerprints that ball hashing links as candidates, check these by the exact
+similarity of their sets of shingles (`shingles`: five words, Jaccard similarity of at least 0.8), and find the similar pairs beyond a distance of 3 by an exact way
+of their own, since the ball alone finds almost identical texts only; texts without words are one group in both.
 
 Cases: a null text has no words; repeated rows come back as often as they came; a null doc_id is no candidate for
 component_id unless the group has no other; an empty table gives no rows; other columns stay, whatever their names. Where rows share an id (or have none)
@@ -142,7 +143,7 @@ def _linked(docs: DataFrame, text: str, doc_id: str, words: int, radius: int | N
     if radius is not None:
         own = stored(fingerprints(rows, words=words).drop("text"), "simhash")
         return own, named(own, links(own.select("fingerprint").distinct(), radius))
-    own, edges = shingles.linked(rows, words, similarity)
+    own, edges = shingles.linked(rows, links, words, similarity)
     own = own.withColumnRenamed("set_id", "fingerprint")
     return own, named(own, edges)
 

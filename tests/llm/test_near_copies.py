@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from quillspark.llm import shingles, simhash
 
 
@@ -74,6 +75,49 @@ def test_near_copies_of_ranges_that_distance_3_misses(spark):
     assert kept == {i for i in range(120) if i % 2 == 0 or jaccard(rows[i - 1][1], rows[i][1]) < 0.8}
 
 
+def test_the_pipeline_goes_through_ball_hashing(spark, monkeypatch):
+    """Every distinct fingerprint is asked for its ball, and what balls and equal fingerprints link is what brute force over fingerprints links."""
+    texts = planted()
+    sets = {shingles._id(x): x for x in (shingles.shingles(t.encode()) for t in texts)}
+    prints = {i: shingles.fingerprint(x) for i, x in sets.items()}
+    asked, found, links, in_balls = [], [], simhash.links, shingles.in_balls
+
+    def near(distinct, **more):
+        asked.extend(r[0] for r in distinct.collect())
+        return links(distinct, **more)
+
+    def kept(*given):
+        out = in_balls(*given)
+        found.extend((r["u"] % 2**64, r["v"] % 2**64) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "links", near)
+    monkeypatch.setattr(shingles, "in_balls", kept)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.near_copies(spark, df, "").count() == len(set(components(texts)))
+    assert sorted(x % 2**64 for x in asked) == sorted(set(prints.values()))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in found:
+        assert (prints[u] ^ prints[v]).bit_count() <= 3
+        root[find(u)] = find(v)
+    own = list(sets)
+    near_by = [(a, b) for n, a in enumerate(own) for b in own[:n] if 0 < (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert len(near_by) > 100 and all(find(a) == find(b) for a, b in near_by if list(prints.values()).count(prints[a]) == list(prints.values()).count(prints[b]) == 1)
+
+
+def test_fingerprint_of_a_set():
+    own = shingles.shingles(" ".join(random.Random(5).choices("abcdefgh", k=40_000)).encode())
+    assert len(own) > shingles.FEW
+    want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+    assert shingles.fingerprint(own) == want and shingles.fingerprint(own[:0]) == 0 and shingles.fingerprint(own[:1]) == int(own[0])
+
+
 def test_shingles_of_short_texts():
     assert len(shingles.shingles(b"")) == 0 and len(shingles.shingles(b"a b")) == 1 and len(shingles.shingles(b"A b c d e F a b c d e f")) == 6
 
