@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ from .common import shared_dir, short_batches
 
 BLOCK, SHARD = 1 << 20, 1 << 20
 ROUNDS, PAIRS, LEAST = 8, 2_000, 16
-#: Entries of the encoder's memos: parts between white space, and words (a generation of them).
-PARTS, WORDS = 600_000, 300_000
+#: Entries of a generation of the encoder's memo of words.
+WORDS = 500_000
 MAGIC = b"RPG1"
 
 
@@ -75,9 +76,9 @@ class TextEncoder:
 
 
 class WordEncoder(TextEncoder):
-    """The same from a memo of the ids of their parts, for tokenizers that part texts and lower-case them as the fixed values say (`fits`).
+    """The same from a memo of the ids of their words, for tokenizers that part texts and lower-case them as the fixed values say (`fits`).
 
-    White space always parts pre-tokens, and so does the place between a word of letters and the signs of `TAIL` after it; parts seen before aren't encoded again.
+    White space always parts pre-tokens, and so does the place between a word of letters and the signs of `TAIL` after it; words seen before aren't encoded again.
     Unknown words of letters alone go to the library as one text, and are told apart by the ends of words in its tokens.
     """
 
@@ -102,39 +103,55 @@ class WordEncoder(TextEncoder):
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        told |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, self.BYTES]}}
+        self.plain = Tokenizer.from_str(json.dumps(told))
         self.words = Generations(WORDS)
 
     def _learn(self, words: list[str]) -> None:
-        plain_ = [w for w in words if w.isalpha()]
-        if plain_:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain_)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain_) and cuts[-1] == len(ids):
+        """Words of lower-case Latin letters are as the normalizer leaves them, and need only be parted at the blanks between them."""
+        latin = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0100"]
+        other = [w for w in words if w.isalpha() and not (w.islower() and max(w) < "\u0100")]
+        rest = [w for w in words if not w.isalpha()]
+        for tokenizer, own in ((self.plain, latin), (self.tokenizer, other)):
+            if own:
+                ids = np.asarray(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=np.int64)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(own) or cuts[-1] != len(ids):
+                    rest += own
+                    continue
                 raw, width = ids.astype(self.kind).tobytes(), int(self.kind[-1])
                 at = 0
-                for w, b in zip(plain_, (cuts * width).tolist(), strict=True):
+                for w, b in zip(own, (cuts * width).tolist(), strict=True):
                     self.words.now[w] = raw[at:b]
                     at = b
-                words = [w for w in words if not w.isalpha()]
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words.now[w] = np.asarray(e.ids, dtype=self.kind).tobytes()
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        own = list(map(self.words.now.get, words))
+        fresh = [i for i, ids in enumerate(own) if ids is None]
+        if fresh:
+            self._learn(self.words.unknown({words[i] for i in fresh}))
+            for i in fresh:
+                own[i] = self.words.now[words[i]]
+        return own
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        parts = self.parts
-        if len(parts) > PARTS:
-            parts.clear()  # they come back from the words, without the library
-        fresh = list(set().union(*split).difference(parts))
-        heads = [p.rstrip(self.TAIL) for p in fresh]
-        heads = [h if h.isalpha() else p for h, p in zip(heads, fresh, strict=True)]
-        tails = [p[len(h) :] for h, p in zip(heads, fresh, strict=True)]
-        heads = [h.lower() if h.isascii() and h.isalpha() else h for h in heads]  # the library lower-cases as well
-        self._learn(self.words.unknown(set(heads).union(tails)))
-        words = self.words.now
-        words[""] = b""
-        parts.update(zip(fresh, [words[h] + words[t] for h, t in zip(heads, tails, strict=True)], strict=True))
-        return [b"".join(map(parts.__getitem__, s)) for s in split]
+        """Each distinct part is looked up once, and its ids are taken by its number."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        trimmed = pc.utf8_rtrim(coded.dictionary, characters=self.TAIL)
+        cut = pc.subtract(pc.binary_length(coded.dictionary), pc.binary_length(trimmed)).to_numpy()
+        parts, heads = (x.to_numpy(zero_copy_only=False).tolist() for x in (coded.dictionary, pc.ascii_lower(trimmed)))  # the library lower-cases as well
+        heads = [h if h.isalpha() else p for h, p in zip(heads, parts, strict=True)]
+        own = self._known(heads)
+        tailed = [i for i in np.flatnonzero(cut).tolist() if heads[i] is not parts[i]]
+        for i, ids in zip(tailed, self._known([parts[i][-n:] for i, n in zip(tailed, cut[tailed].tolist(), strict=True)]), strict=True):
+            own[i] += ids
+        codes, cuts = coded.indices.to_numpy().tolist(), split.offsets.to_numpy().tolist()
+        return [b"".join(map(own.__getitem__, codes[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -219,6 +236,12 @@ class Block:
         return self._expand(self.symbols[a:b])[start - before : stop - before]
 
 
+def _runs(ordered: np.ndarray, least: int) -> np.ndarray:
+    """Where the runs of at least `least` equal values begin."""
+    some = np.flatnonzero(ordered[: max(0, len(ordered) - least + 1)] == ordered[least - 1 :])
+    return some[(some == 0) | (ordered[some] != ordered[some - 1])]
+
+
 def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> Block:
     s = ids.astype(np.uint32)
     left, right = [], []
@@ -230,14 +253,13 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIR
         narrow = free <= 1 << 16
         keys = (s[:-1] << np.uint32(16)) | s[1:] if narrow else (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:].astype(np.uint64)
         ordered = np.sort(keys)
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(ordered)]]))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        starts = _runs(ordered, least)
+        if not len(starts):
             break
-        if len(often) > n:
-            often = often[np.argsort(-counts[often], kind="stable")[:n]]
-        top = ordered[starts[often]]
+        counts = np.searchsorted(ordered, ordered[starts], side="right") - starts
+        if len(starts) > n:
+            starts = starts[np.argsort(-counts, kind="stable")[:n]]
+        top = ordered[starts]
         # where each position's pair is among the chosen ones: by a hash, in which the more frequent pair wins a shared place
         mix = (lambda k: ((k * np.uint32(2654435761)) >> np.uint32(15)) & np.uint32(0xFFFF)) if narrow else (lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))
         place = np.zeros(1 << 16, dtype=np.int32)
@@ -245,13 +267,12 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIR
         place[h[::-1]] = np.arange(len(top), dtype=np.int32)[::-1]
         won = place[h] == np.arange(len(top))
         number = np.cumsum(won) - 1
-        which = place[mix(keys)]
-        at = np.flatnonzero(top[which] == keys)
+        at = np.flatnonzero(top[place][mix(keys)] == keys)
         # of overlapping finds every second one of a run goes, from the left
         run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
         rank = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate([run, [len(at)]])))
         at = at[rank % 2 == 0]
-        chosen = number[which[at]]
+        chosen = number[place[mix(keys[at])]]
         new = top[won]
         left.append((new >> new.dtype.type(16 if narrow else 32)).astype(np.int64))
         right.append((new & new.dtype.type(0xFFFF if narrow else 0xFFFFFFFF)).astype(np.int64))

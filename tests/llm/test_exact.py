@@ -226,6 +226,26 @@ def test_word_memo_is_the_library():
         assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_are_the_library():
+    """Lower-case Latin words go to a tokenizer without the normalizer; a memo of few words, which is turned over within a text, changes nothing."""
+    t, e = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    letters = [c for c in map(chr, range(256)) if c.isalpha() and c.islower()]
+    words = ["".join(letters[(i * j + j) % len(letters)] for j in range(1, 2 + i % 9)) for i in range(400)]
+    want = t.encode(" ".join(words), add_special_tokens=False).ids
+    assert e.plain.encode(" ".join(words), add_special_tokens=False).ids == want
+    e.words = token_files.Generations(5)
+    texts = [" ".join(words), "", "\n".join(w.title() + "?!"[: i % 3] for i, w in enumerate(words[:200])), "a. A, b a; (a) a@b.c --"]
+    for _ in range(2):
+        assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("least", [1, 2, 16])
+def test_runs(least):
+    a = np.sort(np.random.default_rng(least).zipf(1.3, 3000).clip(0, 500).astype(np.uint32))
+    values, first, counts = np.unique(a, return_index=True, return_counts=True)
+    assert token_files._runs(a, least).tolist() == first[counts >= least].tolist() and not len(token_files._runs(a[:0], least))
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     told = json.load(open(WORDS, encoding="utf-8"))
     assert isinstance(token_files.encoder(WORDS), token_files.WordEncoder)
