@@ -37,6 +37,8 @@ from .common import shared_dir, short_batches
 
 BLOCK, SHARD = 1 << 20, 1 << 20
 ROUNDS, PAIRS, LEAST = 8, 2_000, 16
+#: Symbols that a round looks at together, which the processor's cache holds.
+STEP = 1 << 15
 #: Entries of a generation of the encoder's memo of words.
 WORDS = 500_000
 MAGIC = b"RPG1"
@@ -238,8 +240,9 @@ class Block:
 
 def _runs(ordered: np.ndarray, least: int) -> np.ndarray:
     """Where the runs of at least `least` equal values begin."""
-    some = np.flatnonzero(ordered[: max(0, len(ordered) - least + 1)] == ordered[least - 1 :])
-    return some[(some == 0) | (ordered[some] != ordered[some - 1])]
+    out = ordered[: max(0, len(ordered) - least + 1)] == ordered[least - 1 :]
+    out[1:] &= ordered[1 : len(out)] != ordered[: max(0, len(out) - 1)]
+    return np.flatnonzero(out)
 
 
 def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> Block:
@@ -267,7 +270,8 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIR
         place[h[::-1]] = np.arange(len(top), dtype=np.int32)[::-1]
         won = place[h] == np.arange(len(top))
         number = np.cumsum(won) - 1
-        at = np.flatnonzero(top[place][mix(keys)] == keys)
+        known = top[place]
+        at = np.concatenate([a + np.flatnonzero(known[mix(keys[a : a + STEP])] == keys[a : a + STEP]) for a in range(0, len(keys), STEP)])
         # of overlapping finds every second one of a run goes, from the left
         run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
         rank = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate([run, [len(at)]])))
@@ -279,7 +283,7 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIR
         s[at] = (free + chosen).astype(np.uint32)
         stays = np.ones(len(s), dtype=bool)
         stays[at + 1] = False
-        s = s[stays]
+        s = np.concatenate([s[a : a + STEP][stays[a : a + STEP]] for a in range(0, len(s), STEP)])
         free += len(new)
     none = np.zeros(0, dtype=np.int64)
     return Block(first, np.concatenate([none, *left]), np.concatenate([none, *right]), s.astype(np.int64), count=len(ids))
