@@ -127,12 +127,10 @@ def search_indexed(s, d):
 
 def search_batch_topk(s, d):
     """Each benchmark text as a search; the best five documents of each."""
-    from .plans.batch import parsed
+    from .plans.batch import best_each, parsed
 
-    docs = documents(s, d)
     phrases = parsed(load(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    scored = retrieval.indexed_search(retrieval.index(docs, "doc_id", _fields()), retrieval.lengths(docs, "doc_id", _fields()), phrases, "doc_id", WEIGHTS)
-    return retrieval.top_each(scored, "query_id", "doc_id", 5)
+    return best_each(documents(s, d), "doc_id", _fields(), phrases, WEIGHTS, 5)
 
 
 def _sections(s, d):
